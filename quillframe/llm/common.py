@@ -206,11 +206,11 @@ def sliding_min_at(values: np.ndarray, w: int) -> np.ndarray:
     at = np.arange(n)
     step = 1
     while step * 2 <= w:
-        a, b = best[: n - step], best[step:]
+        a, b = best[: n - step], best[step:n]
         take = b <= a
         m = n - step
         best[:m] = np.where(take, b, a)
-        at[:m] = np.where(take, at[step:], at[:m])
+        at[:m] = np.where(take, at[step:n], at[:m])
         step *= 2
         n = m
     rest = w - step

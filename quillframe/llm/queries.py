@@ -5,21 +5,37 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from quillframe.llm import pairwise_quality
 from quillframe.llm.common import load
+from quillframe.llm.exact_digest import fingerprints
 from quillframe.llm.rank_bpe import encode_decode
 from quillframe.llm.token_files import token_files
+from quillframe.llm.winnow import decontaminate
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(spark, load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("width")
 
 
+def op5_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return pairwise_quality.score(docs, pairwise_quality.fit(docs, load(spark, sf_dir, "labels")))
+
+
+def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op8_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_files, op8_rank_bpe)}
+    return {f.__name__: f for f in (op1_token_files, op5_pairwise_quality, op7_winnowing, op8_rank_bpe, op10_exact_digest)}
 
 
 def oracle_sql() -> dict[str, str]:
