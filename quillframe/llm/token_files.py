@@ -21,6 +21,9 @@ from __future__ import annotations
 import binascii
 import re
 import struct
+import sys
+import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillframe.llm.common import shared_dir
+from quillframe.llm.rank_bpe import printable_bytes
 
 INDEX_MAGIC, TABLE_MAGIC, FOOT_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 NO_ID = -(1 << 63)
@@ -55,19 +59,46 @@ class ChunkEncoder:
         self.lib.no_truncation()
         self.lib.no_padding()
         self.width = 2 if self.lib.get_vocab_size() <= 1 << 16 else 4
-        self.kind = f"<u{self.width}"
+        self.kind, self.code = f"<u{self.width}", "H" if self.width == 2 else "I"
         self.memo: dict[str, bytes] = {}
+        self.model, self.names = self.lib.model, {b: c for c, b in printable_bytes().items()}
+        self.direct = True
+        self.direct = all(self._letters(w) == self.lib.encode(w, add_special_tokens=False).ids for w in ("a", "words", "thereupon", "été", "straße", "ñandú"))
 
     def _pack(self, ids) -> bytes:
-        return np.asarray(ids, self.kind).tobytes()
+        packed = array(self.code, ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
+
+    def _letters(self, word: str) -> list[int] | None:
+        """Of a lower-case word of plain letters: straight from the library's model, as normaliser and splitter leave it whole."""
+        if not self.direct or not word.isalpha():
+            return None
+        if not word.isascii():
+            if ord(max(word)) >= 0x250 or not unicodedata.is_normalized("NFC", word):
+                return None
+            word = word.encode().decode("latin-1").translate(self.names)
+        return [t.id for t in self.model.tokenize(word)]
 
     def _learn(self, words: list[str]) -> None:
         memo = self.memo
-        if len(memo) > MEMO:
+        new = {w for w in words if w not in memo}
+        if len(memo) + len(new) > MEMO:
             memo.clear()
-        ended = {w for w in words if w not in memo and len(w) > 1 and w[-1] in ".," and w[-2].isalpha()}
-        new = [w for w in {*(w[:-1] for w in ended), *({*words} - ended), ".", ","} if w not in memo]
-        for w, e in zip(new, self.lib.encode_batch(new, add_special_tokens=False), strict=True):
+            new = {*words}
+        ended = [w for w in new if w[-1] in ".," and len(w) > 1 and w[-2].isalpha()]
+        new.difference_update(ended)
+        new.update([w[:-1] for w in ended], ".,")
+        rest = []
+        for w in new:
+            if w not in memo:
+                ids = self._letters(w)
+                if ids is None:
+                    rest.append(w)
+                else:
+                    memo[w] = self._pack(ids)
+        for w, e in zip(rest, self.lib.encode_batch(rest, add_special_tokens=False), strict=True):
             memo[w] = self._pack(e.ids)
         for w in ended:
             memo[w] = memo[w[:-1]] + memo[w[-1]]
