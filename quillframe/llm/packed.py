@@ -110,11 +110,19 @@ def _by(column: str, batches) -> Iterator[list[tuple[int, int, bytes]]]:
         yield held
 
 
-def answer(asked: DataFrame, reply: Callable, parts: int, name: str, shift: int = 0) -> DataFrame:
-    """reply(bodies) gives one body for each, in order; stored with part + shift."""
+def answer(asked: DataFrame, reply: Callable, parts: int, name: str, shift: int = 0, sums: int | None = None) -> DataFrame:
+    """reply(bodies) gives one body for each, in order; stored with part + shift.
+
+    With ``sums`` it also gives (key, x, y) of the partition, stored with part = sums.
+    """
 
     def run(batches):
         for group in _by("part", batches):
+            if sums is not None:
+                got, more = reply([x for _, _, x in group])
+                yield rows([p + shift for p, _, _ in group], [b for _, b, _ in group], got)
+                yield rows([sums] * len(more), [k for k, _, _ in more], [np.array(xy, "<f8").tobytes() for _, *xy in more])
+                continue
             yield rows([p + shift for p, _, _ in group], [b for _, b, _ in group], reply([x for _, _, x in group]))
 
     return store(asked.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "block").mapInArrow(run, ROWS), name)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillframe.llm import pairwise_quality
+from quillframe.llm import pairwise_quality, suffix_tree_lm
 from quillframe.llm.block_anchors import passage_digests
 from quillframe.llm.common import load
 from quillframe.llm.exact_digest import fingerprints
@@ -19,6 +19,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(spark, load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("width")
 
 
+def op4_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_lm.score(load(spark, sf_dir, "documents"))
+
+
 def op5_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     return pairwise_quality.score(docs, pairwise_quality.fit(docs, load(spark, sf_dir, "labels")))
@@ -45,7 +49,7 @@ def op10_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_files, op5_pairwise_quality, op6_block_anchors, op7_winnowing, op8_rank_bpe, op9_prefix_join, op10_exact_digest)}
+    return {f.__name__: f for f in (op1_token_files, op4_suffix_tree_lm, op5_pairwise_quality, op6_block_anchors, op7_winnowing, op8_rank_bpe, op9_prefix_join, op10_exact_digest)}
 
 
 def oracle_sql() -> dict[str, str]:
