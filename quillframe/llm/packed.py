@@ -78,12 +78,12 @@ def cut(hashes: np.ndarray, parts: int) -> np.ndarray:
     return np.searchsorted(part, np.arange(parts + 1).astype(U64))
 
 
-def ask(met: DataFrame | tuple[DataFrame, DataFrame], question: Callable, parts: int) -> DataFrame:
-    """question(Texts, answers) yields (partition, body)."""
+def ask(met: DataFrame | tuple[DataFrame, DataFrame], question: Callable, parts: int, of: Callable = Texts) -> DataFrame:
+    """question(of(batch), answers) yields (partition, body)."""
 
     def send(groups):
         for block, body, answers in groups:
-            got = list(question(Texts(parse(body)), answers))
+            got = list(question(of(parse(body)), answers))
             if got:
                 yield rows([p for p, _ in got], [block] * len(got), [b for _, b in got])
 
