@@ -91,21 +91,33 @@ def text_blocks(batches, column: str = "text", limit: int = BLOCK):
 _MASK = (1 << 64) - 1
 _R = 0x9E3779B97F4A7C15  # odd; its powers and their inverses modulo 2^64 are tabled
 _RI = pow(_R, -1, 1 << 64)
-_POW: dict[int, np.ndarray] = {}
+_STEP = 1 << 16
+_POW: dict[tuple[int, int], np.ndarray] = {}
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    have = _POW.get(base)
-    if have is None or len(have) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length() if n > 1 else 1)
+def _table(base: int, n: int) -> np.ndarray:
+    """At least n powers of base."""
+    key, size = (base, 0), _STEP
+    if n > size:
+        size = 1 << (n - 1).bit_length()
+    have = _POW.get(key)
+    if have is None or len(have) < size:
         out = np.empty(size, U64)
         out[0] = 1
         k = 1
         while k < size:
             out[k : 2 * k] = out[:k] * U64(pow(base, k, 1 << 64))
             k *= 2
-        _POW[base] = have = out
-    return have[:n]
+        _POW[key] = have = out
+    return have
+
+
+def _power_at(base: int, at: np.ndarray) -> np.ndarray:
+    """base to the power of each of at, from two small tables."""
+    out = _table(base, _STEP)[at & (_STEP - 1)]
+    if len(at) and (top := int(at.max()) >> 16):
+        out = out * _table(pow(base, _STEP, 1 << 64), top + 1)[at >> 16]
+    return out
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -123,14 +135,21 @@ BYTE_CODE = mix(np.arange(1, 257, dtype=U64) * U64(_R))  # a 64-bit code for eac
 
 def prefix_sums(values: np.ndarray) -> np.ndarray:
     """Prefix sums of value * R^position, from which every span's hash follows by one subtraction."""
-    out = np.empty(len(values) + 1, U64)
+    n = len(values)
+    out = np.empty(n + 1, U64)
     out[0] = 0
-    np.cumsum(values * _powers(_R, len(values)), out=out[1:])
+    powers = _table(_R, _STEP)
+    for i in range(0, n, _STEP):
+        part = out[i + 1 : i + 1 + _STEP]
+        np.multiply(values[i : i + len(part)], powers[: len(part)], out=part)
+        if i:
+            part *= U64(pow(_R, i, 1 << 64))
+    np.cumsum(out[1:], out=out[1:])
     return out
 
 
 def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return mix((sums[end] - sums[start]) * _powers(_RI, len(sums))[start])
+    return mix((sums[end] - sums[start]) * _power_at(_RI, start))
 
 
 def byte_table(*spans: tuple[int, int]) -> np.ndarray:
@@ -191,12 +210,12 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def cover(starts: np.ndarray, width, n: int) -> np.ndarray:
-    """Flags of the positions in [start, start + width) of any start."""
-    edge = np.zeros(n + 1, np.int32)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + width, -1)
-    return np.cumsum(edge[:n]) > 0
+def cover(starts: np.ndarray, width: int, n: int) -> np.ndarray:
+    """Flags of the positions in [start, start + width) of any of the distinct starts."""
+    edge = np.zeros(n + 1, np.int8)
+    edge[starts] = 1
+    edge[starts + width] -= 1
+    return np.cumsum(edge[:n], dtype=np.int32) > 0
 
 
 def sliding_min_at(values: np.ndarray, w: int) -> np.ndarray:

@@ -12,6 +12,7 @@ from quillframe.llm.exact_digest import fingerprints
 from quillframe.llm.prefix_join import near_duplicates
 from quillframe.llm.rank_bpe import encode_decode
 from quillframe.llm.site_style import extract
+from quillframe.llm.suffix_dedup import repeated_bytes
 from quillframe.llm.token_files import token_files
 from quillframe.llm.winnow import decontaminate
 
@@ -20,6 +21,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(spark, load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("width")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes(load(spark, sf_dir, "documents")).drop("spans")
+
+
 def op3_site_style(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(load(spark, sf_dir, "pages"))
 
@@ -54,7 +59,7 @@ def op10_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_files, op3_site_style, op4_suffix_tree_lm, op5_pairwise_quality, op6_block_anchors, op7_winnowing, op8_rank_bpe, op9_prefix_join, op10_exact_digest)}
+    return {f.__name__: f for f in (op1_token_files, op2_suffix_dedup, op3_site_style, op4_suffix_tree_lm, op5_pairwise_quality, op6_block_anchors, op7_winnowing, op8_rank_bpe, op9_prefix_join, op10_exact_digest)}
 
 
 def oracle_sql() -> dict[str, str]:
