@@ -167,16 +167,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranking:
     return Ranking(np.array([r.x for r in rows]).reshape(len(rows), len(FEATURES)), np.array([r.good for r in rows], bool))
 
 
-def score(docs: DataFrame, model: Ranking, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, held_out, score, predicted and the columns named in ``keep``."""
+def score(docs: DataFrame, model: Ranking, keep: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
+    """doc_id, held_out, score, predicted and the columns named in ``keep``; prefix: of the new columns, where theirs are taken."""
     held = docs.sparkSession.sparkContext.broadcast(model)
+    names = [prefix + "held_out", prefix + "score", prefix + "predicted"]
 
     def run(batches):
         for rows, buf, offs in text_blocks(batches):
             s = held.value.score(features(buf, offs))
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(s), pa.array((s >= held.value.threshold).astype(np.int32))], names=[*rows.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(s), pa.array((s >= held.value.threshold).astype(np.int32))], names=[*rows.schema.names, *names[1:]])
 
     cols = list(dict.fromkeys(["doc_id", "text", *keep]))
     part = docs.select(*cols)
-    scored = part.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in part.schema) + ", score double, predicted int")
-    return scored.withColumn("held_out", fold() == 0).select(*(c for c in cols if c != "text" or "text" in keep), "held_out", "score", "predicted")
+    scored = part.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in part.schema) + f", {names[1]} double, {names[2]} int")
+    return scored.withColumn(names[0], fold() == 0).select(*(c for c in cols if c != "text" or "text" in keep), *names)

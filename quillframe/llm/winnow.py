@@ -130,12 +130,13 @@ def test_blocks(benchmark: DataFrame, limit: int):
     yield block
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, text, n_words, spans (word numbers and byte places of the hit runs), items."""
+def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = GRAM, block_bytes: int = BLOCK_BYTES, keep: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """The columns named in ``keep``, n_words, spans (word numbers and byte places of the hit runs), items."""
     spark = docs.sparkSession
-    schema = "doc_id long, text string, n_words long, spans array<struct<first:int,last:int,start:long,end:long>>, items array<string>"
+    cols = list(dict.fromkeys([*keep, "text"]))
+    out = docs.select(*cols)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema) + ", n_words long, spans array<struct<first:int,last:int,start:long,end:long>>, items array<string>"
     span_type = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     for number, block in enumerate(test_blocks(benchmark, block_bytes)):
         held = spark.sparkContext.broadcast(block)
 
@@ -155,8 +156,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int
                     a, b = runs(flags[f : words.first[d + 1]])
                     spans[d] = [{"first": x, "last": y, "start": int(words.start[f + x] - offs[d]), "end": int(words.end[f + y - 1] - offs[d])} for x, y in zip(a.tolist(), b.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), rows.column("text"), pa.array(words.count.astype(np.int64)), pa.array([spans.get(d, []) for d in range(rows.num_rows)], span_type), pa.array([sorted(x) for x in found], pa.list_(pa.string()))],
-                    names=["doc_id", "text", "n_words", "spans", "items"],
+                    [*(rows.column(c) for c in cols), pa.array(words.count.astype(np.int64)), pa.array([spans.get(d, []) for d in range(rows.num_rows)], span_type), pa.array([sorted(x) for x in found], pa.list_(pa.string()))],
+                    names=[*cols, "n_words", "spans", "items"],
                 )
 
         if number:
@@ -169,7 +170,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The contract's columns: words, hit words, items met and whether a twentieth or more of the words is hit."""
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + (x["last"] - x["first"]).cast("long"))
     return (
-        overlaps(docs, benchmark, **how)
+        overlaps(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, **how)
         .select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"))
         .withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
     )
