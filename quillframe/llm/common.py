@@ -31,20 +31,22 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage so that lost executors cost only their own tasks."""
     spark = df.sparkSession
+    release(spark)  # of the steps before
     path = shared_dir(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    release(spark)
-    return out
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_stored(df: DataFrame) -> None:
     """Delete a table made by ``store`` that nothing reads any more."""
-    spark = df.sparkSession
     for top in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "quillframe-" in top:
-            path = spark._jvm.org.apache.hadoop.fs.Path(top)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            delete(df.sparkSession, top)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -133,18 +135,20 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTE_CODE = mix(np.arange(1, 257, dtype=U64) * U64(_R))  # a 64-bit code for each byte value
 
 
-def prefix_sums(values: np.ndarray) -> np.ndarray:
-    """Prefix sums of value * R^position, from which every span's hash follows by one subtraction."""
+def prefix_sums(values: np.ndarray, codes: np.ndarray | None = None, out: np.ndarray | None = None) -> np.ndarray:
+    """Prefix sums of value (or its code) * R^position, from which every span's hash follows by one subtraction."""
     n = len(values)
-    out = np.empty(n + 1, U64)
+    out = np.empty(n + 1, U64) if out is None else out
     out[0] = 0
     powers = _table(_R, _STEP)
     for i in range(0, n, _STEP):
         part = out[i + 1 : i + 1 + _STEP]
-        np.multiply(values[i : i + len(part)], powers[: len(part)], out=part)
+        own = values[i : i + len(part)]
+        np.multiply(own if codes is None else codes[own], powers[: len(part)], out=part)
         if i:
             part *= U64(pow(_R, i, 1 << 64))
-    np.cumsum(out[1:], out=out[1:])
+        np.cumsum(part, out=part)
+        part += out[i]
     return out
 
 
@@ -186,7 +190,7 @@ class Words:
         self.first = np.searchsorted(self.start, offs)  # of each document: its first word; one more at the end
         self.count = np.diff(self.first)
         if hashed:
-            self.hash = span_hash(prefix_sums(BYTE_CODE[buf]), self.start, self.end)
+            self.hash = span_hash(prefix_sums(buf, BYTE_CODE), self.start, self.end)
 
     def __len__(self) -> int:
         return len(self.start)

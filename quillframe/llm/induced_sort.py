@@ -13,8 +13,8 @@ the other, by induction:
 
 A suffix passed on gets one more than the smallest common prefix scanned since the last
 tuple of the same bucket, so common prefixes come out of the induction, cut at ``length``.
-A queue is popped and pushed a bucket at a time: within a bucket, the tuples that stay in
-it make the next round, which keeps the order of arrival.
+A queue is popped and pushed up to ``AT_ONCE`` tuples of a bucket at a time; tuples that stay
+in the bucket queue up behind, which keeps the order of arrival.
 
 Step 3 recurses by rank doubling over the reduced string, not by another induction: its
 alphabet is as large as the string, so an induction would go on tuple by tuple; and as
@@ -32,9 +32,10 @@ import tempfile
 
 import numpy as np
 
-from quillframe.llm.common import U64, prefix_sums, span_hash
+from quillframe.llm.common import U64, mix, prefix_sums, span_hash
 
 IN_MEMORY = 12 << 20
+AT_ONCE = 1 << 19  # tuples popped at once
 
 
 class Room:
@@ -91,7 +92,9 @@ class BucketQueue:
         self.tail[names] += size
 
     def taken(self, symbol: int, done: int) -> slice:
-        return slice(int(self.start[symbol]) + done, int(self.tail[symbol]))
+        """The next tuples of a bucket after the first ``done``, a bounded number."""
+        start = int(self.start[symbol]) + done
+        return slice(start, min(int(self.tail[symbol]), start + AT_ONCE))
 
 
 class Sorter:
@@ -113,7 +116,8 @@ class Sorter:
         self.alphabet = 258
         self._types()
         self.sums = room(total + 1, U64)
-        self.sums[:] = prefix_sums((text.astype(U64) + U64(0x632BE5AB)) * U64(0x9E3779B97F4A7C15) ^ (text.astype(U64) << U64(41)))
+        codes = mix(np.arange(1, self.alphabet + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
+        prefix_sums(text, codes, self.sums)
 
     def _types(self) -> None:
         t = self.text
@@ -147,7 +151,7 @@ class Sorter:
     def induce(self, lms: np.ndarray, shared: np.ndarray | None, visit=None):
         """From LMS suffixes in order (and their common prefixes) all suffixes.
 
-        visit(places, common prefixes) is told of every bucket in descending order; without
+        visit(places, common prefixes) is told of all suffixes in descending order; without
         common prefixes the LMS suffixes come back in the order of the induction.
         """
         t, carry = self.text, shared is not None
@@ -164,22 +168,21 @@ class Sorter:
                 done += len(x)
                 last = int(x[-1])
                 self._pass(large, x, large.shared[own].astype(np.int64) if carry else None, lambda s, c=c: s >= c)
-            x = lms[edges[c] : edges[c + 1]]
-            if len(x):
+            for lo in range(int(edges[c]), int(edges[c + 1]), AT_ONCE):
+                x = lms[lo : min(lo + AT_ONCE, int(edges[c + 1]))]
                 scan = None
                 if carry:
-                    scan = shared[edges[c] : edges[c + 1]].astype(np.int64)
-                    scan[0] = self._one(last, int(x[0])) if last >= 0 else 0
+                    scan = shared[lo : lo + len(x)].astype(np.int64)
+                    if lo == edges[c]:
+                        scan[0] = self._one(last, int(x[0])) if last >= 0 else 0
                 self._pass(large, x, scan, lambda s, c=c: s > c)
         small = BucketQueue(self.of_small, self.room, carry)
         ordered = []
         for c in range(self.alphabet - 1, -1, -1):
             done, last = 0, -1
-            seen_places, seen_shared = [], []
-            if c == 0:  # the end of the text
-                small.push(np.zeros(1, np.int64), np.array([self.n - 1]), np.zeros(1, np.int64), np.zeros(1, np.int64) if carry else None, self.cap)
+            if c == 0:  # the end of the text: no suffix is smaller
                 ordered.append(np.array([self.n - 1]))
-                break  # no suffix is smaller
+                break
             while True:
                 own = small.taken(c, done)
                 if own.stop == own.start:
@@ -189,24 +192,21 @@ class Sorter:
                 scan = small.shared[own].astype(np.int64) if carry else None
                 last = int(x[-1])
                 self._pass(small, x, scan, lambda s, c=c: s <= c)
-                seen_places.append(x)
-                seen_shared.append(scan)
-            if not carry and seen_places:
-                x = np.concatenate(seen_places)
-                before = np.where(x > 0, self.small[x - 1], True)
-                ordered.append(x[~before])
-            own = large.taken(c, 0)
-            if own.stop > own.start:
+                if visit is not None:
+                    visit(x, scan)
+                if not carry:
+                    ordered.append(x[np.where(x > 0, ~self.small[x - 1], False)])
+            low, high = int(large.start[c]), int(large.tail[c])
+            for top in range(high, low, -AT_ONCE):
+                own = slice(max(low, top - AT_ONCE), top)
                 x = np.array(large.place[own], np.int64)[::-1]
                 scan = None
                 if carry:
-                    up = large.shared[own].astype(np.int64)[::-1]
-                    scan = np.concatenate(([self._one(last, int(x[0])) if last >= 0 else 0], up[:-1]))
+                    seam = int(large.shared[top]) if top < high else self._one(last, int(x[0])) if last >= 0 else 0
+                    scan = np.concatenate(([seam], large.shared[own].astype(np.int64)[:0:-1]))
                 self._pass(small, x, scan, lambda s, c=c: s < c)
-                seen_places.append(x)
-                seen_shared.append(scan)
-            if visit is not None and seen_places:
-                visit(np.concatenate(seen_places), np.concatenate(seen_shared))
+                if visit is not None:
+                    visit(x, scan)
         return np.concatenate([x[::-1] for x in reversed(ordered)])
 
     def _pass(self, queue: BucketQueue, x: np.ndarray, scan: np.ndarray | None, wanted) -> None:
@@ -220,14 +220,12 @@ class Sorter:
         lms, m = self.lms, len(self.lms)
         by_first = lms[np.argsort(self.text[lms], kind="stable")]
         order = self.induce(by_first, None)
-        end = np.full(self.n, -1, np.int64)
-        end[lms[:-1]] = lms[1:] + 1
-        end[lms[-1]] = self.n
-        a, b = order[:-1], order[1:]
-        same = (end[a] - a == end[b] - b) & (span_hash(self.sums, a, end[a]) == span_hash(self.sums, b, end[b]))
-        name = self.room(self.n, np.int64)
-        name[order] = np.concatenate(([0], np.cumsum(~same)))
-        rank = name[lms] + 1
+        end = np.append(lms[1:] + 1, self.n)
+        at = np.searchsorted(lms, order)
+        a, b, x, y = order[:-1], order[1:], end[at[:-1]], end[at[1:]]
+        same = (x - a == y - b) & (span_hash(self.sums, a, x) == span_hash(self.sums, b, y))
+        rank = np.empty(m, np.int64)
+        rank[at] = np.concatenate(([1], 1 + np.cumsum(~same)))
         step = 1
         while step <= self.cap and rank.max() < m:
             after = np.zeros(m, np.int64)
@@ -244,10 +242,13 @@ class Sorter:
         order = self.sorted_lms()
         shared = np.concatenate(([0], self.prefix(order[:-1], order[1:])))
 
+        before = [0]
+
         def visit(places, common):
-            pair = np.flatnonzero(common[1:] >= self.cap) + 1
+            pair = np.flatnonzero(common >= self.cap)
             flags[places[pair]] = True
-            flags[places[pair - 1]] = True
+            flags[np.where(pair > 0, places[pair - 1], before[0])] = True
+            before[0] = int(places[-1])
 
         self.induce(order, shared, visit)
         return flags

@@ -7,13 +7,16 @@ sends each hash partition one packed array of its distinct hashes.  The partitio
 a block and its answers together again.  As a block names each distinct hash once, the
 cost of a hash that occurs in a third of all rows is one entry per block: no hot keys.
 
-Blocks are numbered by (partition, counter) of the task that packed them and stored in
-the shared folder, so whatever is lost later is read again with the same numbers.
+Blocks are numbered by (partition, counter) of the task that packed them and stored in the
+shared folder as a table bucketed by that number.  Texts so move once, when packed; later
+only answers move, to the buckets of their blocks.  Whatever is lost later is read again
+with the same numbers.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +24,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from quillframe.llm.common import BLOCK, U64, shuffle_parts, store, text_blocks
+from quillframe.llm.common import BLOCK, U64, delete, release, shared_dir, shuffle_parts, store, text_blocks
 
 ROWS = "part int, block long, body binary"
 _OPTIONS = pa.ipc.IpcWriteOptions(compression="zstd")
@@ -49,27 +52,50 @@ class Texts:
     def __init__(self, batch: pa.RecordBatch):
         ((self.batch, self.buf, self.offs),) = list(text_blocks([batch], limit=1 << 62)) or [(batch, np.zeros(0, np.uint8), np.zeros(1, np.int64))]
         self.ids = np.array([-(1 << 63) if i is None else i for i in batch.column("doc_id").to_pylist()], np.int64)
+
+    @cached_property
+    def raw(self) -> list[bytes]:
         raw = self.buf.tobytes()
-        self.raw = [raw[a:b] for a, b in zip(self.offs[:-1].tolist(), self.offs[1:].tolist(), strict=True)]
-        self.sums = np.fromiter((xxhash.xxh64_intdigest(r) for r in self.raw), U64, len(self.raw))
+        return [raw[a:b] for a, b in zip(self.offs[:-1].tolist(), self.offs[1:].tolist(), strict=True)]
 
+    @cached_property
+    def sums(self) -> np.ndarray:
+        return np.fromiter((xxhash.xxh64_intdigest(r) for r in self.raw), U64, len(self.raw))
 
-def pack(docs: DataFrame, name: str, limit: int = BLOCK) -> DataFrame:
-    """Store (part = -1, block, body): all columns of docs, a block a row."""
 
-    def run(batches):
-        top = TaskContext.get().partitionId() << 32
-        k = 0
-        for batch, _, _ in text_blocks(batches, limit=limit):
-            yield rows([-1], [top + k], [dump(batch)])
-            k += 1
+class Packed:
+    """A stored table (block, body) of docs."""
+
+    def __init__(self, docs: DataFrame, name: str, limit: int = BLOCK):
+        self.spark = spark = docs.sparkSession
+        release(spark)
+        self.path = shared_dir(spark, name)
+        self.name = "quillframe_" + self.path.rpartition("-")[2]
+        n = shuffle_parts(spark)
+
+        def run(batches):
+            top = TaskContext.get().partitionId() << 32
+            k = 0
+            for batch, _, _ in text_blocks(batches, limit=limit):
+                yield pa.RecordBatch.from_arrays([pa.array([top + k], pa.int64()), pa.array([dump(batch)], pa.binary())], names=["block", "body"])
+                k += 1
+
+        blocks = docs.mapInArrow(run, "block long, body binary").repartition(n, "block")
+        blocks.write.format("parquet").option("path", self.path).option("compression", "zstd").bucketBy(n, "block").sortBy("block").saveAsTable(self.name)
+        self.frame = spark.table(self.name)
+
+    def drop(self) -> None:
+        """Once nothing reads it any more."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        delete(self.spark, self.path)
+
 
-    return store(docs.mapInArrow(run, ROWS), name)
+pack = Packed
 
 
-def partitions(table: DataFrame, blocks_each: int = 8) -> int:
+def partitions(table: Packed, blocks_each: float = 8) -> int:
     """Hash partitions: as many as keep a partition's share at that of a few blocks, however many blocks there are."""
-    return max(shuffle_parts(table.sparkSession), table.count() // blocks_each)
+    return max(shuffle_parts(table.spark), int(table.frame.count() / blocks_each))
 
 
 def cut(hashes: np.ndarray, parts: int) -> np.ndarray:
@@ -78,7 +104,7 @@ def cut(hashes: np.ndarray, parts: int) -> np.ndarray:
     return np.searchsorted(part, np.arange(parts + 1).astype(U64))
 
 
-def ask(met: DataFrame | tuple[DataFrame, DataFrame], question: Callable, parts: int, of: Callable = Texts) -> DataFrame:
+def ask(met: Packed | tuple[Packed, DataFrame], question: Callable, parts: int, of: Callable = Texts) -> DataFrame:
     """question(of(batch), answers) yields (partition, body)."""
 
     def send(groups):
@@ -87,22 +113,15 @@ def ask(met: DataFrame | tuple[DataFrame, DataFrame], question: Callable, parts:
             if got:
                 yield rows([p for p, _ in got], [block] * len(got), [b for _, b in got])
 
-    if isinstance(met, tuple):
-        return meet(*met, send, ROWS)
-
-    def run(batches):
-        yield from send((b, body, {}) for batch in batches for b, body in zip(batch.column("block").to_pylist(), batch.column("body").to_pylist(), strict=True))
-
-    return met.mapInArrow(run, ROWS)
+    return meet(*(met if isinstance(met, tuple) else (met, None)), send, ROWS)
 
 
-def _by(column: str, batches) -> Iterator[list[tuple[int, int, bytes]]]:
-    """Consecutive rows of one value of a column (the rows come sorted by it)."""
+def _by_part(batches) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Consecutive rows of one part (they come sorted by it)."""
     held: list[tuple[int, int, bytes]] = []
-    at = {"part": 0, "block": 1}[column]
     for batch in batches:
         for row in zip(*(batch.column(n).to_pylist() for n in ("part", "block", "body")), strict=True):
-            if held and held[0][at] != row[at]:
+            if held and held[0][0] != row[0]:
                 yield held
                 held = []
             held.append(row)
@@ -117,7 +136,7 @@ def answer(asked: DataFrame, reply: Callable, parts: int, name: str, shift: int
     """
 
     def run(batches):
-        for group in _by("part", batches):
+        for group in _by_part(batches):
             if sums is not None:
                 got, more = reply([x for _, _, x in group])
                 yield rows([p + shift for p, _, _ in group], [b for _, b, _ in group], got)
@@ -128,16 +147,26 @@ def answer(asked: DataFrame, reply: Callable, parts: int, name: str, shift: int
     return store(asked.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "block").mapInArrow(run, ROWS), name)
 
 
-def meet(table: DataFrame, answers: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """run(groups of (block, body of the block, {part: answer})) yields batches."""
+def meet(table: Packed, answers: DataFrame | None, run: Callable, schema: str) -> DataFrame:
+    """run(groups of (block, body of the block, {part: answer})) yields batches.
+
+    The blocks stay in their buckets; the answers of a block, at most one a partition
+    asked, are shuffled to it.
+    """
+
+    answered = answers is not None
 
     def groups(batches):
-        for group in _by("block", batches):
-            yield group[0][1], group[0][2], {p: x for p, _, x in group[1:]}
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                got = row.column("answers").to_pylist()[0] if answered else None
+                yield row.column("block")[0].as_py(), row.column("body")[0].as_py(), {a["part"]: a["body"] for a in got or ()}
 
-    n = shuffle_parts(table.sparkSession)
-    both = table.select("part", "block", "body").unionByName(answers.select("part", "block", "body"))
-    return both.repartition(n, "block").sortWithinPartitions("block", "part").mapInArrow(lambda batches: run(groups(batches)), schema)
+    both = table.frame
+    if answered:
+        both = both.join(answers.groupBy("block").agg(F.collect_list(F.struct("part", "body")).alias("answers")), "block", "left").select("block", "body", "answers")
+    return both.mapInArrow(lambda batches: run(groups(batches)), schema)
 
 
 def bits(flags: np.ndarray) -> bytes:
@@ -152,7 +181,7 @@ class Distinct:
     """The distinct values of an array in ascending order, and where they are."""
 
     def __init__(self, values: np.ndarray):
-        self.order = np.argsort(values, kind="stable")
+        self.order = np.argsort(values)
         ordered = values[self.order]
         self.new = np.concatenate(([True], ordered[1:] != ordered[:-1])) if len(values) else np.zeros(0, bool)
         self.at = np.flatnonzero(self.new)
