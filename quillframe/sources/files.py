@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from quillframe.errors import ArgumentError
+from quillframe.shipping import ship
 
 ENCODINGS = {"UTF8": "UTF-8", "UTF-8": "UTF-8", "SJIS": "Shift_JIS", "SHIFT_JIS": "Shift_JIS"}
 
@@ -47,6 +48,7 @@ def _strict(pairs: list[tuple[str, object]]) -> dict:
 def read_json(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFrame:
     """Objects, one a line or in arrays; numbers keep their digits, nested values stay JSON text, duplicate keys at any level are errors."""
     names = list(columns)
+    ship(spark)
 
     def parse(batches):
         for batch in batches:
