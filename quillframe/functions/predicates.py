@@ -43,10 +43,11 @@ def compare(op: str, x: Value, y: Value) -> Column:
     if y.is_literal:
         plain = {"=": a == b, "!=": a != b, "<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op]
         return plain | a.isNull() if op in ("!=", "<", "<=") else plain
-    if op == "=":
-        return a.eqNullSafe(b)
-    if op == "!=":
-        return ~a.eqNullSafe(b)
+    if op in ("=", "!="):
+        same = a.eqNullSafe(b)
+        if {x.kind, y.kind} == {"num", "str"} and x.kind == "num":  # text that is no number equals none
+            same &= ~F.coalesce(F.isnan(b), F.lit(False))
+        return same if op == "=" else ~same
     if op in (">", ">="):
         a, b, op = b, a, {">": "<", ">=": "<="}[op]
     return (a < b) | (a.isNull() & b.isNotNull()) if op == "<" else (a <= b) | a.isNull()

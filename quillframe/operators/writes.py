@@ -352,23 +352,29 @@ class Writer:
                     df = df.crossJoin(F.broadcast(got.agg(F.collect_list(made).cast(f.dataType).alias("__appended"))))
                     appended = F.col("__appended")
 
-            def one(row: Column, i: Column, f=f, fields=fields, changes=changes, df=df) -> Column:
-                scope = self._row_scope(df, f, key, row, i)
-                out = {x.name: row[x.name] for x in fields}
-                for sets, where in changes:
-                    p = F.lit(True) if where is None else F.coalesce(self.c.condition(where, scope), F.lit(False))
-                    for name, value in sets:
-                        x = fields[name]
-                        out[name] = F.when(p, converted(self.c.expression(value, scope), x.dataType)).otherwise(out[name])
-                keep = F.lit(True)
-                for where in drops:
-                    keep &= F.lit(False) if where is None else ~F.coalesce(self.c.condition(where, scope), F.lit(False))
-                return F.when(keep, F.struct(*[v.alias(k) for k, v in out.items()]))
-
+            one = self._changed(df, f, key, changes, drops)
             kept = F.filter(F.transform(F.coalesce(c, none), one), lambda x: x.isNotNull())
             df = df.withColumn(f.name, F.when(hit, F.concat(kept.cast(f.dataType), appended)).otherwise(c)).drop("__appended")
         return df
 
+    def _changed(self, df: DataFrame, f: T.StructField, key: str, changes: list, drops: list):
+        """A row as PATCH leaves it, NULL where REMOVE takes it."""
+        fields = f.dataType.elementType
+
+        def one(row: Column, i: Column) -> Column:
+            scope = self._row_scope(df, f, key, row, i)
+            out = {x.name: row[x.name] for x in fields}
+            for sets, where in changes:
+                p = F.lit(True) if where is None else F.coalesce(self.c.condition(where, scope), F.lit(False))
+                for name, value in sets:
+                    out[name] = F.when(p, converted(self.c.expression(value, scope), fields[name].dataType)).otherwise(out[name])
+            keep = F.lit(True)
+            for where in drops:
+                keep &= F.lit(False) if where is None else ~F.coalesce(self.c.condition(where, scope), F.lit(False))
+            return F.when(keep, F.struct(*[v.alias(k) for k, v in out.items()]))
+
+        return one
+
     def reorder(self, s: n.Reorder) -> tuple[dict, DataFrame | None]:
         t, old, f, key = self._nested(s.table)
         c = F.col(f"`{f.name}`")
