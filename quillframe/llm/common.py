@@ -15,12 +15,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from quillframe.shipping import ship
+
 BLOCK = 2 << 20
 U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``; only where that is unset (tests) a local one."""
+    ship(spark)
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="quillframe-")
@@ -156,6 +159,18 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((sums[end] - sums[start]) * _power_at(_RI, start))
 
 
+def window_hashes(sums: np.ndarray, k: int) -> np.ndarray:
+    """span_hash of every window of k."""
+    out = sums[k:] - sums[:-k]
+    inverse = _table(_RI, _STEP)
+    for i in range(0, len(out), _STEP):
+        part = out[i : i + _STEP]
+        part *= inverse[: len(part)]
+        if i:
+            part *= U64(pow(_RI, i, 1 << 64))
+    return mix(out)
+
+
 def byte_table(*spans: tuple[int, int]) -> np.ndarray:
     out = np.ones(256, bool)
     for a, b in spans:
@@ -205,7 +220,7 @@ class Words:
             return np.zeros(0, np.int64), np.zeros(0, U64)
         last = np.repeat(self.first[1:], self.count)
         at = np.flatnonzero(np.arange(m) + k <= last)
-        return at, span_hash(prefix_sums(self.hash), at, at + k)
+        return at, window_hashes(prefix_sums(self.hash), k)[at]
 
 
 def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -223,26 +238,21 @@ def cover(starts: np.ndarray, width: int, n: int) -> np.ndarray:
 
 
 def sliding_min_at(values: np.ndarray, w: int) -> np.ndarray:
-    """For each window of w values the position of its rightmost minimum."""
+    """For each window of w hashes the position of its rightmost minimum (by all but the lowest bits, where positions are kept)."""
     n = len(values)
-    best = values.copy()
-    at = np.arange(n)
+    if n < w:
+        return np.zeros(0, np.int64)
+    low = U64((1 << max(24, n.bit_length())) - 1)
+    best = (values & ~low) | (low - np.arange(n, dtype=U64))
     step = 1
     while step * 2 <= w:
-        a, b = best[: n - step], best[step:n]
-        take = b <= a
-        m = n - step
-        best[:m] = np.where(take, b, a)
-        at[:m] = np.where(take, at[step:n], at[:m])
+        best = np.minimum(best[: len(best) - step], best[step:])
         step *= 2
-        n = m
     rest = w - step
-    m = len(values) - w + 1
-    if m <= 0:
-        return np.zeros(0, np.int64)
-    a, b = best[:m], best[rest : rest + m]
-    return np.where(b <= a, at[rest : rest + m], at[:m])
+    best = np.minimum(best[: n - w + 1], best[rest : rest + n - w + 1])
+    return (low - (best & low)).astype(np.int64)
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -68,7 +68,7 @@ class BucketQueue:
             if scanned is not None and len(scanned):
                 np.minimum(self.low, scanned.min(), out=self.low)
             return
-        order = np.argsort(symbols, kind="stable")
+        order = np.argsort(symbols.astype(np.uint16), kind="stable")
         s = symbols[order]
         first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
         size = np.diff(np.append(first, len(s)))
@@ -231,7 +231,7 @@ class Sorter:
             after = np.zeros(m, np.int64)
             after[: m - step] = rank[step:] if step < m else 0
             key = rank * (m + 1) + after
-            by = np.argsort(key, kind="stable")
+            by = np.argsort(key)
             rank[by] = np.concatenate(([1], 1 + np.cumsum(key[by][1:] != key[by][:-1])))
             step *= 2
         return lms[np.argsort(rank, kind="stable")]

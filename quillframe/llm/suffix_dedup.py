@@ -26,7 +26,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from quillframe.llm.common import BYTE_CODE, U64, cover, prefix_sums, runs, sliding_min_at, span_hash
+from quillframe.llm.common import BYTE_CODE, U64, cover, mix, prefix_sums, runs, sliding_min_at, window_hashes
 from quillframe.llm.induced_sort import repeat_starts
 from quillframe.llm.packed import Distinct, Texts, answer, ask, bits, cut, meet, pack, parse, partitions, unbits
 
@@ -44,9 +44,8 @@ class Stretches:
             self.start = self.end = np.zeros(0, np.int64)
             self.key = Distinct(np.zeros(0, U64))
         else:
-            sums = prefix_sums(BYTE_CODE[t.buf])
-            at = np.arange(n - gram + 1)
-            h = span_hash(sums, at, at + gram)
+            sums = prefix_sums(t.buf, BYTE_CODE)
+            h = window_hashes(sums, gram)
             least = sliding_min_at(h, length - gram + 1)
             ok = np.zeros(n - length + 1, bool)
             for a, b in zip(t.offs[:-1].tolist(), t.offs[1:].tolist(), strict=True):
@@ -62,7 +61,7 @@ class Stretches:
             before = cuts - 1
             last[before[ok[before]]] = True
             self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + length
-            self.key = Distinct(h[least[self.start]])
+            self.key = Distinct(mix(h[least[self.start]] + U64(1)))  # smallest hashes are small: mixed again, they spread
         self.ends = cut(self.key.values, parts)
 
     def full(self) -> list[int]:
@@ -77,7 +76,7 @@ class Stretches:
         return self.key.spread(hot)
 
     def to_shards(self, t: Texts, answers: dict[int, bytes]):
-        """(shard, its distinct stretches, which came twice in the block, the stretches' numbers by distinct one)."""
+        """(shard, its distinct stretches, their grams' hashes, which came twice in the block, the stretches' numbers by distinct one)."""
         raw = t.buf.tobytes()
         mine = np.flatnonzero(self.shared(answers))
         key = np.repeat(np.arange(len(self.key.values)), self.key.size)
@@ -90,14 +89,15 @@ class Stretches:
             seen: dict[bytes, list[int]] = {}
             for k in order[np.searchsorted(part, p) : np.searchsorted(part, p, "right")].tolist():
                 seen.setdefault(raw[self.start[k] : self.end[k]], []).append(k)
-            yield p, list(seen), np.array([len(v) > 1 for v in seen.values()], bool), list(seen.values())
+            grams = self.key.values[of[[v[0] for v in seen.values()]]]
+            yield p, list(seen), grams, np.array([len(v) > 1 for v in seen.values()], bool), list(seen.values())
 
 
 def repeats(docs: DataFrame, run, schema: str, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """run(Texts, flags of the bytes that repeated strings cover) yields a batch for each block."""
     gram = max(1, min(gram, length - 1))
     table = pack(docs, "suffix-docs")
-    parts = partitions(table, blocks_each=6)
+    parts = partitions(table, blocks_each=3)
 
     def grams(t: Texts, _):
         s = Stretches(t, length, gram, parts)
@@ -120,37 +120,47 @@ def repeats(docs: DataFrame, run, schema: str, length: int = LENGTH, gram: int =
 
     def stretches(t: Texts, answers):
         press = zstandard.ZstdCompressor(level=1)
-        for p, strings, several, _ in Stretches(t, length, gram, parts).to_shards(t, answers):
+        for p, strings, grams, several, _ in Stretches(t, length, gram, parts).to_shards(t, answers):
             sizes = np.array([len(s) for s in strings], "<u4")
-            yield p, press.compress(b"".join([np.array([len(strings)], "<u4").tobytes(), sizes.tobytes(), bits(several), *strings]))
+            yield p, press.compress(b"".join([np.array([len(strings)], "<u4").tobytes(), sizes.tobytes(), grams.astype("<u8").tobytes(), bits(several), *strings]))
 
     def shard(bodies):
         number: dict[bytes, int] = {}
         often: list[bool] = []
+        key: list[int] = []
+        distinct: dict[int, int] = {}
         asked: list[list[int]] = []
         unpress = zstandard.ZstdDecompressor()
         for body in bodies:
             x = unpress.decompress(body)
             n = int(np.frombuffer(x, "<u4", 1)[0])
             sizes = np.frombuffer(x, "<u4", n, 4).astype(np.int64)
-            at = 4 + 4 * n
+            grams = np.frombuffer(x, "<u8", n, 4 + 4 * n).tolist()
+            at = 4 + 12 * n
             several = unbits(x[at : at + (n + 7) // 8], n).tolist()
             ends = at + (n + 7) // 8 + np.concatenate(([0], np.cumsum(sizes)))
             row = []
-            for a, b, more in zip(ends[:-1].tolist(), ends[1:].tolist(), several, strict=True):
+            for a, b, more, g in zip(ends[:-1].tolist(), ends[1:].tolist(), several, grams, strict=True):
                 s = x[a:b]
                 k = number.get(s)
                 if k is None:
                     k = number[s] = len(often)
                     often.append(more)
+                    key.append(g)
+                    distinct[g] = distinct.get(g, 0) + 1
                 else:
                     often[k] = True
                 row.append(k)
             asked.append(row)
-        found = repeat_starts(list(number), length)
+        # windows of one stretch differ (their gram lies elsewhere in each), so a gram's only distinct stretch has nothing to be sorted against
+        strings = list(number)
+        sort = [k for k, g in enumerate(key) if distinct[g] > 1]
+        found = [np.zeros(len(s) - length + 1, bool) for s in strings]
+        for k, flags in zip(sort, repeat_starts([strings[k] for k in sort], length), strict=True):
+            found[k] = flags
         for k, more in enumerate(often):
             if more:
-                found[k] = np.ones(len(found[k]), bool)
+                found[k][:] = True
         return [bits(np.concatenate([found[k] for k in row])) for row in asked]
 
     answers = answer(ask((table, known), stretches, parts), shard, parts, "shards", shift=parts)
@@ -160,7 +170,7 @@ def repeats(docs: DataFrame, run, schema: str, length: int = LENGTH, gram: int =
             t = Texts(parse(body))
             s = Stretches(t, length, gram, parts)
             starts = np.zeros(len(t.buf), bool)
-            for p, strings, _, places in s.to_shards(t, {k: v for k, v in got.items() if k < parts}):
+            for p, strings, _, _, places in s.to_shards(t, {k: v for k, v in got.items() if k < parts}):
                 flags = unbits(got[parts + p], sum(len(x) - length + 1 for x in strings))
                 at = 0
                 for x, ks in zip(strings, places, strict=True):
