@@ -15,8 +15,8 @@ is that of the longest kept context before it, so every state's probabilities su
 Counting is done by packed questions (see ``packed``).  Contexts go to the partition of
 their hash, except those with a ``1/hot`` share of all tokens or more: there are at most
 ``hot`` of them a depth, their next tokens are dealt out over all partitions, and only their
-sums (one row each) come to the driver.  Probabilities of suffixes travel as 16-bit
-logarithms (steps of 12/65535 of a decade).
+sums (one row each) come to the driver.  Probabilities travel as 16-bit
+logarithms (steps of 12/65535 of a decade; 1e-12 is the least).
 
 Null texts are empty: one end token.  Repeated rows count and are scored each.  Without
 training texts N and V are 0 and every token has the same base probability.
@@ -58,9 +58,13 @@ class Tree:
     """What a block needs of the model so far: totals, and each depth's frequent contexts."""
 
     def __init__(self, parts: int):
-        self.parts, self.total, self.kinds = parts, 0, 0
+        self.parts, self.total, self.kinds, self.shift = parts, 0, 0, 0.0
         self.frequent: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # per depth from 1: hashes, n, kept
 
+    def level(self, counts: np.ndarray) -> np.ndarray:
+        """Of token sequences: 0 rare, 1 a context, 2 a frequent one."""
+        return (counts >= LEAST).astype(np.int8) + (counts >= max(LEAST, self.total / HOT))
+
     def root(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 0.1) / (self.total + 0.1 * (self.kinds + 1)))
 
@@ -73,9 +77,9 @@ class _Level:
         ctx, nxt = b.context(depth)[self.at], b.token[self.at]
         hot = state[self.at] > 1
         to = np.where(hot, mix(ctx ^ (nxt >> U64(1))), ctx)
-        part = ((to >> U64(32)) * U64(parts)) >> U64(32)
-        order = np.lexsort((nxt, ctx, part))
-        p, c, x = part[order], ctx[order], nxt[order]
+        # one key sorts by partition, context and next token; should two pairs share it, one may be named twice, which the sums bear
+        order = np.argsort((to & ~U64(0xFFFFFF)) | (nxt >> U64(40)))
+        p, c, x = (((to >> U64(32)) * U64(parts)) >> U64(32))[order], ctx[order], nxt[order]
         new = np.concatenate(([True], (c[1:] != c[:-1]) | (x[1:] != x[:-1])))[: len(c)]
         self.first = np.flatnonzero(new)
         self.group = np.empty(len(order), np.int64)
@@ -120,39 +124,35 @@ class _Block:
         count = np.concatenate([unplanes(answers[p], int(ends[p + 1] - ends[p])) for p in np.flatnonzero(ends[1:] > ends[:-1]).tolist()])
         count = self.words.spread(count.astype(np.int64))
         logp = tree.root(count)
-        state = self._next(1, count, tree)
+        state = self._next(1, tree.level(count))
         for d in range(1, depth):
             level = _Level(self, d, state, parts)
-            kept, value, seen = np.zeros(len(level.first), bool), np.zeros(len(level.first)), np.zeros(len(level.first), np.int64)
+            kept, value, seen = np.zeros(len(level.first), bool), np.zeros(len(level.first)), np.zeros(len(level.first), np.int8)
             for p in np.flatnonzero(level.ends[1:] > level.ends[:-1]).tolist():
                 a, z = level.ends[p], level.ends[p + 1]
                 body = answers[d * parts + p]
                 n = int(z - a)
-                kept[a:z] = unbits(body, n)
-                at = (n + 7) // 8
-                seen[a:z] = unplanes(body, n, at)
-                got = np.frombuffer(body, "<f4", offset=at + 8 * n)
-                value[a:z][kept[a:z]] = got
+                flags = unbits(body, 3 * n).reshape(3, n)
+                kept[a:z] = flags[0]
+                seen[a:z] = flags[1].astype(np.int8) + flags[2]
+                value[a:z][flags[0]] = -_STEP * np.frombuffer(body, "<u2", offset=(3 * n + 7) // 8)
             names, totals, keep = tree.frequent[d - 1]
             if level.hot.any():
                 where = np.searchsorted(names, level.ctx[level.hot])
                 kept[level.hot] = keep[where]
-                value[level.hot] -= np.log10(totals[where] + PRIOR)
+                value[level.hot] += tree.shift - np.log10(totals[where] + PRIOR)
             mine = kept[level.group]
             logp[level.at[mine]] = value[level.group[mine]]
-            grams = np.zeros(len(self.token), np.int64)
+            grams = np.zeros(len(self.token), np.int8)
             grams[level.at] = seen[level.group]
-            state = self._next(d + 1, grams, tree)
+            state = self._next(d + 1, grams)
         return count, logp, state
 
-    def _next(self, depth: int, grams: np.ndarray, tree: Tree) -> np.ndarray:
-        """0: no; 1: the ``depth`` tokens before this place are a context to ask about; 2: a frequent one.  grams: counts of the depth tokens up to each place."""
+    def _next(self, depth: int, grams: np.ndarray) -> np.ndarray:
+        """0: no; 1: the ``depth`` tokens before this place are a context to ask about; 2: a frequent one.  grams: the same of the depth tokens up to each place."""
         out = np.zeros(len(grams), np.int8)
-        before = np.zeros(len(grams), np.int64)
-        before[1:] = grams[:-1]
-        before[self.place < depth] = 0
-        out[before >= LEAST] = 1
-        out[before >= max(LEAST, tree.total / HOT)] = 2
+        out[1:] = grams[:-1]
+        out[self.place < depth] = 0
         return out
 
 
@@ -192,7 +192,7 @@ def score(docs: DataFrame, depth: int = DEPTH, divergence: float = DIVERGENCE) -
 
     replies = answer(ask(table, tokens, parts), count, parts, "tree-0", sums=SUMS)
     for _, x, y in _totals(replies):
-        tree.total, tree.kinds = int(x), int(y)
+        tree.total, tree.kinds, tree.shift = int(x), int(y), float(np.log10(x + PRIOR))
     learnt = [replies]
     for d in range(1, depth + 1):
         known = learnt[0]
@@ -213,7 +213,7 @@ def score(docs: DataFrame, depth: int = DEPTH, divergence: float = DIVERGENCE) -
                 head = np.array([z - a, len(at)], "<u4").tobytes()
                 yield p, b"".join([head, ctx[at].tobytes(), planes(runs, "<u4"), (level.next[a:z] >> U64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), planes(level.count[a:z]), scaled[a:z].tobytes(), bits(level.hot[a:z])])
 
-        def test(bodies):
+        def test(bodies, held=held):
             cols: list[list[np.ndarray]] = [[], [], [], [], []]
             sizes = []
             for x in bodies:
@@ -250,9 +250,12 @@ def score(docs: DataFrame, depth: int = DEPTH, divergence: float = DIVERGENCE) -
             back[order] = np.repeat(np.arange(len(at)), size)
             ends = np.cumsum([0, *sizes])
             out = []
+            level = held.value.level(total)
+            # of frequent contexts the value lacks their n: log10 of counts, moved below 0 by the largest count there can be
+            scaled = np.clip(np.round(-(value - np.repeat(np.where(open_, held.value.shift, 0.0), each)) / _STEP), 0, 65535).astype("<u2")
             for a, z in zip(ends[:-1], ends[1:], strict=True):
                 g = back[a:z]
-                out.append(b"".join([bits(show[g]), planes(total[g]), value[g][show[g]].astype("<f4").tobytes()]))
+                out.append(bits(np.concatenate([show[g], level[g] > 0, level[g] > 1])) + scaled[g][show[g]].tobytes())
             names = c[at][top][open_].view(np.int64)
             return out, list(zip(names.tolist(), n[open_].tolist(), gain[open_].tolist(), strict=True))
 
