@@ -24,7 +24,7 @@ from quillframe.llm.block_anchors import without_repeats
 from quillframe.llm.common import load, store
 from quillframe.llm.prefix_join import near_duplicates
 from quillframe.llm.rank_bpe import encode_decode
-from quillframe.llm.winnow import cut_spans, overlaps
+from quillframe.llm.winnow import overlaps
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -46,11 +46,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = overlaps(docs, load(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
-    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + (x["last"] - x["first"]).cast("long"))
-    clean = found.where(~((hit > 0) & (20 * hit >= F.col("n_words"))))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return _counted(clean.mapInArrow(cut_spans(docs.columns), schema))
+    return _counted(overlaps(docs, load(spark, sf_dir, "benchmark"), keep=tuple(docs.columns), clean=True).select(*docs.columns))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quillframe.llm.common import U64, WORD_BYTES, Words, byte_table, text_blocks
+from quillframe.shipping import ship
 
 SAMPLE, PAIRS, THRESHOLD = 6000, 200_000, 0.3
 LINE_BYTES = byte_table((0x0A, 0x0A))
@@ -162,6 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranking:
             x = features(buf, offs)
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("good"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "good", "x"])
 
+    ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, good boolean, x array<double>").collect()
     rows.sort(key=lambda r: (r.doc_id, r.good, r.x))
     return Ranking(np.array([r.x for r in rows]).reshape(len(rows), len(FEATURES)), np.array([r.good for r in rows], bool))
@@ -169,6 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranking:
 
 def score(docs: DataFrame, model: Ranking, keep: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
     """doc_id, held_out, score, predicted and the columns named in ``keep``; prefix: of the new columns, where theirs are taken."""
+    ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     names = [prefix + "held_out", prefix + "score", prefix + "predicted"]
 

@@ -21,8 +21,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from quillframe.shipping import ship
+
 SHORT = 96
-MEMO = 800_000
+MEMO = 300_000  # chunks remembered by a worker, about 80 MB
 NONE = np.int32(2**31 - 1)
 
 #: White space as the tokenizer's regular expressions see it, and its split pattern: fixed values.
@@ -206,6 +208,8 @@ def encode_decode(docs: DataFrame, path: str, group: int = 256, with_ids: bool =
                 if with_ids:
                     out["ids"] = pa.array([np.frombuffer(c, "<u4").astype(np.int32) for c in coded], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_pydict(out)
+        pa.default_memory_pool().release_unused()
 
+    ship(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)

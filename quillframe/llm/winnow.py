@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quillframe.llm.common import ALNUM_BYTES, LOWER, U64, Words, cover, runs, sliding_min_at, store, text_blocks
+from quillframe.shipping import ship
 
 WINDOW, GRAM = 13, 5
 BLOCK_BYTES = 16 << 20
@@ -130,17 +131,27 @@ def test_blocks(benchmark: DataFrame, limit: int):
     yield block
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = GRAM, block_bytes: int = BLOCK_BYTES, keep: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
-    """The columns named in ``keep``, n_words, spans (word numbers and byte places of the hit runs), items."""
+def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = GRAM, block_bytes: int = BLOCK_BYTES, keep: tuple[str, ...] = ("doc_id", "text"), clean: bool = False) -> DataFrame:
+    """The columns named in ``keep``, n_words, spans (word numbers and byte places of the hit runs), items.
+
+    clean: only the columns, without contaminated documents, the hit runs of the others cut out.
+    """
     spark = docs.sparkSession
+    ship(spark)
     cols = list(dict.fromkeys([*keep, "text"]))
     out = docs.select(*cols)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema) + ", n_words long, spans array<struct<first:int,last:int,start:long,end:long>>, items array<string>"
     span_type = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
-    for number, block in enumerate(test_blocks(benchmark, block_bytes)):
+    plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
+    blocks = test_blocks(benchmark, block_bytes)
+    following = next(blocks)
+    number = -1
+    while following is not None:
+        block, following, number = following, next(blocks, None), number + 1
+        last = clean and following is None
         held = spark.sparkContext.broadcast(block)
 
-        def run(batches, held=held, number=number):
+        def run(batches, held=held, number=number, last=last):
             test = TestSet(held.value, window, k)
             for rows, buf, offs in text_blocks(batches):
                 words = lowered(buf, offs)
@@ -155,6 +166,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int
                     f = int(words.first[d])
                     a, b = runs(flags[f : words.first[d + 1]])
                     spans[d] = [{"first": x, "last": y, "start": int(words.start[f + x] - offs[d]), "end": int(words.end[f + y - 1] - offs[d])} for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+                if last:
+                    yield _cleaned(rows.select(cols), words.count, spans)
+                    continue
                 yield pa.RecordBatch.from_arrays(
                     [*(rows.column(c) for c in cols), pa.array(words.count.astype(np.int64)), pa.array([spans.get(d, []) for d in range(rows.num_rows)], span_type), pa.array([sorted(x) for x in found], pa.list_(pa.string()))],
                     names=[*cols, "n_words", "spans", "items"],
@@ -162,7 +176,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int
 
         if number:
             out = store(out, "winnow")
-        out = out.mapInArrow(run, schema)
+        out = out.mapInArrow(run, plain if last else schema)
     return out
 
 
@@ -176,21 +190,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     )
 
 
-def cut_spans(names: list[str]):
-    """Of a frame with text and spans: the text without the hit runs."""
-
-    def run(batches):
-        for batch in batches:
-            texts = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                if spans:
-                    raw, at, kept = text.encode(), 0, []
-                    for s in spans:
-                        kept.append(raw[at : s["start"]])
-                        at = s["end"]
-                    text = b"".join([*kept, raw[at:]]).decode()
-                texts.append(text)
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names], names=names)
-
-    return run
-
+def _cleaned(rows: pa.RecordBatch, n_words: np.ndarray, spans: dict[int, list]) -> pa.RecordBatch:
+    if not spans:
+        return rows
+    texts = rows.column("text").to_pylist()
+    stay = np.ones(rows.num_rows, bool)
+    for d, own in spans.items():
+        hit = sum(s["last"] - s["first"] for s in own)
+        if 20 * hit >= n_words[d]:
+            stay[d] = False
+            continue
+        raw, at, kept = texts[d].encode(), 0, []
+        for s in own:
+            kept.append(raw[at : s["start"]])
+            at = s["end"]
+        texts[d] = b"".join([*kept, raw[at:]]).decode()
+    cut = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else rows.column(c) for c in rows.schema.names], names=rows.schema.names)
+    return cut.filter(pa.array(stay))
