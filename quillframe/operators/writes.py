@@ -8,7 +8,7 @@ from quillframe.errors import AnalysisError, ArgumentError, LimitError
 from quillframe.functions.values import Value, date, maybe_number, stamp, text
 from quillframe.operators import validation
 from quillframe.plans import nodes as n
-from quillframe.plans.compiler import Compiler, Scope
+from quillframe.plans.compiler import Compiler, Scope, canonical
 
 
 def converted(v: Value, t: T.DataType) -> Column:
@@ -40,7 +40,7 @@ class Writer:
     def scope(self, df: DataFrame, table: str, prefix: str = "") -> Scope:
         out = Scope([])
         for f in df.schema:
-            v = Value(F.col(f"`{prefix}{f.name}`"), f.dataType, meta=dict(f.metadata))
+            v = Value(F.col(f"`{prefix}{f.name}`"), f.dataType, meta=dict(f.metadata) | (self.catalog.tables[table.lower()].metas.get(f.name, {}) if table.lower() in self.catalog.tables else {}))
             for key in (n.Col(f.name), n.Col(f.name, table)):
                 out.done[key] = v
         return out
@@ -106,6 +106,12 @@ class Writer:
                 raise ArgumentError(f"{e.code}: {e.message}")
         return df, None, {}
 
+    @staticmethod
+    def selective(where: n.Node) -> None:
+        """A condition that names no column selects all rows or none: not in a write."""
+        if not any(isinstance(x, n.Col | n.In | n.Exists | n.Scalar) for x in n.walk(where)):
+            raise AnalysisError("the WHERE of a write names a column")
+
     def guard(self, count: int) -> None:
         if self.limits.get("dml_rows") is not None and count > self.limits["dml_rows"]:
             raise LimitError(f"{count} rows would change; the limit is {self.limits['dml_rows']}")
@@ -153,6 +159,7 @@ class Writer:
     def update(self, s: n.Update) -> tuple[dict, DataFrame | None]:
         if "$" in s.table.strip("$") and s.table.lower() not in self.catalog.tables:
             return self.nested_change(s.table, s.where, s.assignments)
+        self.selective(s.where)
         t, old = self.target(s.table)
         types = {f.name: f.dataType for f in old.schema}
         for c, _ in s.assignments:
@@ -174,7 +181,7 @@ class Writer:
         for c in old.columns:
             change = dict(s.assignments).get(c)
             own = F.col(f"`{c}`")
-            out.append((F.when(hit, converted(self.c.expression(change, scope), types[c])).otherwise(own) if change is not None else own).alias(c))
+            out.append((F.when(hit, converted(canonical(Value(own, types[c], meta=t.metas.get(c, {})), self.c.expression(change, scope)), types[c])).otherwise(own) if change is not None else own).alias(c))
         new = df.select(*out, "__hit")
         touched = new.where("__hit").drop("__hit")
         changed = list(dict(s.assignments))
@@ -230,6 +237,7 @@ class Writer:
     def delete(self, s: n.Delete) -> tuple[dict, DataFrame | None]:
         if "$" in s.table.strip("$") and s.table.lower() not in self.catalog.tables:
             return self.nested_change(s.table, s.where, None)
+        self.selective(s.where)
         t, old = self.target(s.table)
         scope = self.scope(old, s.table)
         df, _, more = self.c.subqueries(old, s.where, scope, False)

@@ -548,7 +548,8 @@ class Compiler:
             ranged = self._range(x.right)
             if ranged:
                 return self._in_range(op, self.expression(x.left, scope), *ranged)
-            return predicates.compare(op, self.expression(x.left, scope), self.expression(x.right, scope))
+            a, b = self.expression(x.left, scope), self.expression(x.right, scope)
+            return predicates.compare(op, canonical(b, a), canonical(a, b))
         if isinstance(x, n.Between):
             a, low, high = (self.expression(v, scope) for v in (x.value, x.low, x.high))
             if x.negated != negated:
@@ -569,7 +570,7 @@ class Compiler:
                 given = given if isinstance(given, list | tuple) else [given]
                 items = [literal(g) for g in given]
             elif isinstance(x.items, tuple):
-                items = [self.expression(i, scope) for i in x.items]
+                items = [canonical(v, self.expression(i, scope)) for i in x.items]
             else:
                 raise AnalysisError("IN (SELECT) can't be used here")
             return predicates.member(v, items, x.negated != negated)
@@ -612,6 +613,12 @@ def _deep(p: n.Node, aliases: dict):
             yield from n.walk(aliases[x.name.lower()])
 
 
+def canonical(column: Value, v: Value) -> Value:
+    """A literal that is the display name of one of the column's options, as the option itself."""
+    names = column.meta.get("optionNames") or {}
+    return literal(names[v.literal]) if v.is_literal and v.literal in names else v
+
+
 def describe(x: n.Node) -> str:
     """The name of an expression without an alias."""
     if isinstance(x, n.Agg):

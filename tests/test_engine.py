@@ -246,6 +246,16 @@ def test_writes(store):
     assert preview == [("-", "C2")] and len(rows(s.sql("SELECT code FROM t"))) == 2
 
 
+def test_option_names_and_selective_writes(store):
+    s = store("id int, st string", [(1, "open"), (2, "done")], {"st": {"optionNames": {"Open!": "open", "Done!": "done"}}})
+    assert rows(s.sql("SELECT id FROM t WHERE st = 'Open!'")) == [(1,)] and rows(s.sql("SELECT id FROM t WHERE st IN ('Done!', 'x')")) == [(2,)]
+    s.run("UPDATE t SET st = 'Done!' WHERE st = 'Open!'")
+    assert rows(s.sql("SELECT DISTINCT st FROM t")) == [("done",)]
+    for bad in ("DELETE FROM t WHERE 1 = 1", "UPDATE t SET st = 'x' WHERE 1 = 1"):
+        with pytest.raises(AnalysisError):
+            s.run(bad)
+
+
 def test_update_from_and_guard(store, spark):
     s = store(*CLIENTS, limits={"dml_rows": 1})
     s.catalog.add("src", spark.createDataFrame([("C1", 7.0), ("ZZ", 1.0)], "k string, v double"))
