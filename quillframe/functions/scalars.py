@@ -11,7 +11,7 @@ from quillframe.errors import ArgumentError
 from quillframe.functions.values import DATE, DOUBLE, INT, LONG, STRING, Value, date, filled, maybe_number, number, number_type, stamp, text, whole_text
 
 #: White space that TRIM removes, and the short names of the days from Sunday on: fixed values.
-SPACE = r"[\s\x0B   -     　﻿]"
+SPACE = r"[\s\x0B\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 DAYS = "日月火水木金土"
 
 FUNCTIONS: dict[str, Callable[..., Value]] = {}

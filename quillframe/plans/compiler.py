@@ -120,7 +120,9 @@ class Compiler:
             return series(self.spark, *ends, s.column)
         if isinstance(c.query, n.ShowTables | n.Describe):
             return self.table.describe(c.query)
-        own = isinstance(c.query, n.Union) and any(x.name.lower() == c.name.lower() for _, b in enumerate([c.query.first, *(r for r, _ in c.query.rest)]) if isinstance(b, n.Select) for x in [b.source, *(j.source for j in b.joins)] if x)
+        branches = [c.query.first, *(b for b, _ in c.query.rest)] if isinstance(c.query, n.Union) else []
+        named = [s for b in branches if isinstance(b, n.Select) for s in (b.source, *(j.source for j in b.joins)) if s]
+        own = any(s.name.lower() == c.name.lower() for s in named)
         if recursive and own:
             if len(c.query.rest) != 1 or not c.query.rest[0][1]:
                 raise AnalysisError("a recursive query is a seed UNION ALL one term")
@@ -203,7 +205,7 @@ class Compiler:
             if where is not None:
                 df = df.filter(self.condition(where, Scope(fields, done)))
         aliases = {i.alias.lower(): i.value for i in items if i.alias}
-        order = [self.order_item(o, items, fields, q.group is not None) for o in q.order]
+        order = [self.order_item(o, items) for o in q.order]
         parts = [i.value for i in items] + [v for v, _ in order] + ([q.having] if q.having is not None else [])
         aggs = [x for p in parts for x in _deep(p, aliases) if isinstance(x, n.Agg)]
         grouped = q.group is not None or bool(aggs)
@@ -214,7 +216,7 @@ class Compiler:
         if q.having is not None:
             if q.group is None:
                 raise AnalysisError("HAVING needs GROUP BY")
-            having = n.rewrite(q.having, lambda x: aliases.get(x.name.lower(), x) if isinstance(x, n.Col) and x.table is None and (x.name.lower() in aliases) else x)
+            having = n.rewrite(q.having, lambda x: aliases.get(x.name.lower(), x) if isinstance(x, n.Col) and x.table is None else x)
             df, having, more = self.subqueries(df, having, scope)
             scope.done.update(more)
             if having is not None:
@@ -281,7 +283,7 @@ class Compiler:
             out.append(name if k.index(i.value) == 0 else f"{name}_{k.index(i.value) + 1}")
         return out
 
-    def order_item(self, o: n.Order, items: list[n.Item], fields: list[Field], grouped: bool) -> tuple[n.Node, bool]:
+    def order_item(self, o: n.Order, items: list[n.Item]) -> tuple[n.Node, bool]:
         """Names are aliases first, then columns."""
         aliases = {i.alias.lower(): i.value for i in items if i.alias}
         value = n.rewrite(o.value, lambda x: aliases[x.name.lower()] if isinstance(x, n.Col) and x.table is None and x.name.lower() in aliases else x)
