@@ -31,10 +31,11 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/quillframe-{name}-{uuid.uuid4().hex}"
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
+def store(df: DataFrame, name: str, free: bool = True) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage so that lost executors cost only their own tasks."""
     spark = df.sparkSession
-    release(spark)  # of the steps before
+    if free:
+        release(spark)  # of the steps before
     path = shared_dir(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

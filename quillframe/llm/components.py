@@ -15,13 +15,13 @@ def components(links: DataFrame) -> DataFrame:
     logarithm of a component's width.  Rounds are stored tables, so lost executors
     repeat no earlier round.
     """
-    ends = store(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = store(ends.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "labels")
+    ends = store(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links", False)
+    labels = store(ends.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "labels", False)
     while True:
         near = ends.join(labels, ends.b == labels.node).groupBy("a").agg(F.min("component").alias("m"))
         took = labels.join(near, labels.node == near.a, "left").select("node", F.col("component").alias("was"), F.least("component", "m").alias("now"))
         jump = labels.select(F.col("node").alias("now"), F.col("component").alias("then"))
-        new = store(took.join(jump, "now", "left").select("node", "was", F.least("now", "then").alias("component")), "labels")
+        new = store(took.join(jump, "now", "left").select("node", "was", F.least("now", "then").alias("component")), "labels", False)
         old, labels = labels, new.select("node", "component")
         drop_stored(old)
         if new.where("was <> component").isEmpty():

@@ -11,11 +11,12 @@ nothing) is at least ``percent``.
    such has no partner and drops out.
 3. Classes of one size and one prefix form a group; groups meet by the shingles of their
    prefixes.
-4. Links make components.  Members are first compared with their group and groups with
-   one leader for each shingle (linear).  Then every pair of groups that share a prefix
-   shingle and hold different components, that passes the size and overlap bounds, is
-   expanded and its members compared; pairs inside a component need no comparison, as no
-   link between them could change it.  Nothing is capped.
+4. Links make components.  Members are first compared with their group, and groups with
+   the leaders most of their shingles name (linear; a leader has few rarer shingles).
+   Then groups that share a prefix shingle are expanded, and members in different
+   components that pass the size, place, prefix and bitmap bounds are compared; pairs inside a
+   component need no comparison, as no link between them could change it.  Nothing is
+   capped.
 
 Rows of one doc_id are one node; null ids count as the smallest and come back as null.
 """
@@ -32,6 +33,7 @@ from quillframe.llm.components import components
 from quillframe.llm.packed import Distinct, Texts, answer, ask, cut, meet, pack, parse, partitions
 
 SHINGLE, PERCENT = 5, 80
+BITS = 2048  # of a bitmap of a set: a bit for each value of the top bits of its hashes
 NO_ID = -(1 << 63)
 _KEY = np.dtype([("low", "<u4"), ("high", "u1")])
 _PAIR = np.dtype([("digest", "V16"), ("id", "<i8")])
@@ -88,7 +90,7 @@ class _Block:
 
 
 def classes_and_prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Stored rows: (rid, n, doc_ids) of every class in every block; (rid, n, first, prefix, body) of classes that may have partners."""
+    """Stored rows: (rid, n, doc_ids) of every class in every block; (rid, n, first, alone, prefix, items, bits) of classes that may have partners (alone: shingles of this class only)."""
     table = pack(docs.select("doc_id", "text"), "join-docs")
     parts = partitions(table)
 
@@ -134,12 +136,12 @@ def classes_and_prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
             b = _Block(Texts(parse(body)), k, parts, {p: a for p, a in answers.items() if p < parts})
             level = np.concatenate([np.frombuffer(answers[parts + p], np.uint8) for p in np.flatnonzero(b.token_ends[1:] > b.token_ends[:-1]).tolist()] or [np.zeros(0, np.uint8)])
             level = b.tokens.spread(level)
-            rid, n, members, first, prefix, bodies = [], [], [], [], [], []
+            rid, n, members, first, alone, prefix, bodies, marks = [], [], [], [], [], [], [], []
             by: dict[tuple[int, int], list] = {}
             for i, s in enumerate(b.sets):
                 by.setdefault((int(b.rep[i]), len(s)), []).append(int(b.ids[i]))
             for (r, size), ids in by.items():
-                rid.append(r), n.append(size), members.append(ids), first.append(None), prefix.append(None), bodies.append(None)
+                rid.append(r), n.append(size), members.append(ids), first.append(None), alone.append(None), prefix.append(None), bodies.append(None), marks.append(None)
             at = 0
             for i in b.leads:
                 s = b.sets[i]
@@ -148,17 +150,22 @@ def classes_and_prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 length = len(s) - -(-percent * len(s) // 100) + 1
                 if int((own == 1).sum()) >= length:
                     continue
+                alone.append(int((own == 1).sum()))
                 order = np.lexsort((s, own))[:length]
                 order = order[own[order] > 1]
                 rid.append(int(b.ids[i])), n.append(len(s)), members.append(None), first.append(length)
-                prefix.append(s[order].view(np.int64)), bodies.append(s.tobytes())
+                prefix.append(s[order].view(np.int64)), bodies.append(s.view(np.int64))
+                flags = np.zeros(BITS, np.uint8)
+                flags[s >> U64(64 - BITS.bit_length() + 1)] = 1
+                marks.append(np.packbits(flags).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rid, pa.int64()), pa.array(n, pa.int64()), pa.array(members, pa.list_(pa.int64())), pa.array(first, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bodies, pa.binary())],
-                names=["rid", "n", "doc_ids", "first", "prefix", "body"],
+                [pa.array(rid, pa.int64()), pa.array(n, pa.int64()), pa.array(members, pa.list_(pa.int64())), pa.array(first, pa.int64()), pa.array(alone, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bodies, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int64()))],
+                names=["rid", "n", "doc_ids", "first", "alone", "prefix", "items", "bits"],
             )
 
-    out = store(meet(table, reps.unionByName(levels), prefixes, "rid long, n long, doc_ids array<long>, first long, prefix array<long>, body binary"), "prefixes")
-    for x in (table, reps, levels):
+    out = store(meet(table, reps.unionByName(levels), prefixes, "rid long, n long, doc_ids array<long>, first long, alone long, prefix array<long>, items array<long>, bits array<long>"), "prefixes")
+    table.drop()
+    for x in (reps, levels):
         drop_stored(x)
     release(docs.sparkSession)
     return out
@@ -170,55 +177,69 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                u, v = np.frombuffer(x, U64), np.frombuffer(y, U64)
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                u, v = x.values.to_numpy(), y.values.to_numpy()
                 same = len(np.intersect1d(u, v, assume_unique=True))
                 keep.append(100 * same >= percent * (len(u) + len(v) - same))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left, right = sets.select(F.col("rid").alias("a"), F.col("body").alias("x")), sets.select(F.col("rid").alias("b"), F.col("body").alias("y"))
+    left, right = sets.select(F.col("rid").alias("a"), F.col("items").alias("x")), sets.select(F.col("rid").alias("b"), F.col("items").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def link_components(sets: DataFrame, percent: int = PERCENT, rounds: int = 2) -> DataFrame:
-    """(node, component) of the classes in sets(rid, n, first, prefix, body) that have a link."""
+    """(node, component) of the classes in sets(rid, n, first, alone, prefix, items, bits) that have a link."""
     t = percent / 100
-    grouped = sets.select("rid", "n", "first", "prefix", F.xxhash64("n", "prefix").alias("key"))
-    group = grouped.groupBy("n", "key", "prefix").agg(F.min("rid").alias("gid"))
-    members = store(grouped.join(group.select("n", "key", "gid"), ["n", "key"]).select("rid", "gid", "n", "first"), "members")
-    tokens = store(group.select("gid", "n", F.explode("prefix").alias("token")), "tokens")
-    links = store(verified(members.where("rid <> gid").select(F.col("gid").alias("a"), F.col("rid").alias("b")), sets, percent), "links")
+    grouped = sets.select("rid", "n", "first", "alone", "prefix", F.xxhash64("n", "prefix").alias("key"))
+    group = grouped.groupBy("n", "key", "prefix").agg(F.min_by("rid", F.struct("alone", "rid")).alias("gid"), F.min("alone").alias("alone"))
+    members = store(grouped.join(group.select("n", "key", "gid"), ["n", "key"]).select("rid", "gid", "n", "first", "alone"), "members")
+    # a shingle's place in its set: those of the class alone come first, then the prefix as stored
+    tokens = store(group.select("gid", "n", F.posexplode("prefix").alias("k", "token"), "alone").select("gid", "n", "token", (F.col("alone") + F.col("k")).alias("place")), "tokens", False)
+    # the rarest common shingle of two sets that link lies so far in front that what follows in either set can still be the overlap wanted
+    near = lambda a, b: f"{100 + percent} * least({a}n - {a}place, {b}n - {b}place) >= {percent} * ({a}n + {b}n)"
+    links = store(verified(members.where("rid <> gid").select(F.col("gid").alias("a"), F.col("rid").alias("b")), sets, percent), "links", False)
     found = components(links)
     for r in range(rounds):
-        mark = tokens.join(found, tokens.gid == found.node, "left").select("gid", "n", "token", F.coalesce("component", "gid").alias("component"), F.floor(F.log("n") / -np.log(t) + r / rounds).alias("band"))
-        lead = mark.groupBy("token", "band").agg(F.min_by(F.struct("gid", "component"), F.xxhash64("gid", F.lit(r))).alias("lead"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-        votes = mark.join(lead.select("token", "band", "lead"), ["token", "band"]).where("component <> lead.component").groupBy("gid", "n", F.col("lead.gid").alias("lead")).agg(F.count(F.lit(1)).alias("votes"))
-        best = votes.groupBy("gid").agg(F.max(F.struct("votes", -F.col("lead"))).alias("best")).select(F.col("gid").alias("a"), (-F.col("best.col2")).alias("b"))
-        links = store(links.unionByName(verified(best, sets, percent)), "links")
-        found = components(links)
-    where = store(members.join(found, members.rid == found.node, "left").select("rid", "gid", "n", "first", F.coalesce("component", "rid").alias("component")), "where")
-    part = where.groupBy("gid", "n", "first", "component").count()
-    index = part.join(tokens.select("gid", "token"), "gid")
+        mark = tokens.join(found, tokens.gid == found.node, "left").select("gid", "n", "place", "token", F.coalesce("component", "gid").alias("component"), F.floor(F.log("n") / -np.log(t) + (r % 2) / 2).alias("band"))
+        # leaders are typical: where others have this shingle late, few of theirs are rarer; three of them, others each round
+        lead = F.struct("gid", "n", "place", "component")
+        ranks = [F.struct(F.floor(10 * F.col("place") / F.col("n")), F.xxhash64("gid", F.lit(3 * r + k))) for k in range(3)]
+        leads = mark.groupBy("token", "band").agg(F.array_distinct(F.array(*[F.min_by(lead, rank) for rank in ranks])).alias("leads"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+        votes = mark.join(leads.select("token", "band", F.explode("leads").alias("lead")), ["token", "band"]).where("component <> lead.component").where(near("", "lead.")).groupBy("gid", F.col("lead.gid").alias("lead")).agg(F.count(F.lit(1)).alias("votes"))
+        # the three that most of a group's shingles name
+        best = votes.groupBy("gid").agg(F.slice(F.sort_array(F.collect_list(F.struct("votes", "lead")), asc=False), 1, 3).alias("best")).select(F.col("gid").alias("a"), F.explode("best.lead").alias("b"))
+        more = store(verified(best, sets, percent), "more-links", False)
+        if not more.isEmpty():
+            links = store(links.unionByName(more), "links", False)
+            found = components(links)
+    where = store(members.join(found, members.rid == found.node, "left").select("rid", "gid", F.coalesce("component", "rid").alias("component")), "where", False)
+    index = tokens.join(where, "gid").select("rid", "gid", "component", "n", "place", "token")
     mixed = index.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    index = store(index.join(mixed, "token"), "index")
-    side = lambda s: index.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("gid", "n", "first", "component")))
+    index = store(index.join(mixed, "token").join(sets.select("rid", "prefix", "bits"), "rid"), "index")
+    side = lambda s: index.select("token", *(F.col(c).alias(f"{s}_{c}") for c in ("rid", "component", "n", "place", "prefix", "bits")))
+    # a bit that one set has and the other lacks is a shingle not in common at least
+    missing = lambda a, b: f"aggregate(zip_with({a}_bits, {b}_bits, (x, y) -> bit_count(x & ~y)), 0, (s, x) -> s + x)"
     pairs = (
         side("a").join(side("b"), "token")
-        .where("component_a < component_b")
-        .where(f"100 * n_a >= {percent} * n_b and 100 * n_b >= {percent} * n_a")
-        .groupBy("gid_a", "component_a", "n_a", "first_a", "gid_b", "component_b", "n_b", "first_b").agg(F.count(F.lit(1)).alias("met"))
-        # overlap wanted: percent (n_a + n_b) / (100 + percent); what lies behind both prefixes can add max(n - first) at most
-        .where(f"met >= {percent} * (n_a + n_b) / {100 + percent} - greatest(n_a - first_a, n_b - first_b) - 1")
+        # sizes; a pair counts at its first common shingle only; its prefixes have enough in common: the overlap wanted less
+        # what lies behind both prefixes, max(n - length of the prefix) at most; and its bits leave room for the overlap
+        .where(
+            f"a_component < b_component and 100 * a_n >= {percent} * b_n and 100 * b_n >= {percent} * a_n and {near('a_', 'b_')} and array_intersect(a_prefix, b_prefix)[0] = token "
+            f"and size(array_intersect(a_prefix, b_prefix)) >= {percent} * (a_n + b_n) / {100 + percent} - ceil({percent} * greatest(a_n, b_n) / 100) + 0.999 "
+            f"and {100 + percent} * least(a_n - {missing('a', 'b')}, b_n - {missing('b', 'a')}) >= {percent} * (a_n + b_n)"
+        )
+        .select(F.col("a_rid").alias("a"), F.col("b_rid").alias("b")).distinct()
     )
-    one = lambda s: where.select(F.col("gid").alias(f"gid_{s}"), F.col("component").alias(f"component_{s}"), F.col("rid").alias(s))
-    across = pairs.select("gid_a", "component_a", "gid_b", "component_b").join(one("a"), ["gid_a", "component_a"]).join(one("b"), ["gid_b", "component_b"]).select("a", "b")
-    return components(store(links.unionByName(verified(across, sets, percent)), "links"))
+    label = where.select("rid", "component")
+    last = verified(pairs, sets, percent).join(label.toDF("a", "x"), "a").join(label.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    last = store(last, "last-links")  # one link between two components joins them
+    return found if last.isEmpty() else components(links.unionByName(last))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     found = classes_and_prefixes(docs, shingle, percent)
-    sets = found.where("body is not null").select("rid", "n", "first", "prefix", "body")
+    sets = found.where("items is not null").select("rid", "n", "first", "alone", "prefix", "items", "bits")
     nodes = link_components(sets, percent)
     rows = found.where("doc_ids is not null").select("rid", "n", "doc_ids").join(nodes.withColumnRenamed("node", "rid"), "rid", "left")
     rows = rows.select(F.explode("doc_ids").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rid").alias("component_id"))
