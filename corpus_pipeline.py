@@ -33,7 +33,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = pairwise_quality.fit(docs, load(spark, sf_dir, "labels"))
-    return pairwise_quality.score(docs, model, keep=tuple(docs.columns), prefix="quality_").where("quality_predicted = 1").select(*docs.columns)
+    return pairwise_quality.score(docs, model, keep=tuple(docs.columns), prefix="__quality_").where("__quality_predicted = 1").select(*docs.columns)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

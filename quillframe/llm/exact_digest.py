@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from quillframe.llm.common import shuffle_parts, store
 
 NO_ID = -(1 << 63)
+SALTS = 16
 
 
 def canonical(text: str) -> bytes:
@@ -81,7 +82,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     shared = digests(docs)
     known = store(shared, "digests")
     twice = known.groupBy("digest").count().where("count > 1").select("digest")
-    markers = known.join(twice, "digest").select("doc_id", F.lit(True).alias("marker"), F.lit(None).cast("string").alias("text"))
+    # salted: a digest may belong to a third of all rows
+    salted = twice.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    markers = known.withColumn("salt", F.pmod("doc_id", F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"]).select("doc_id", F.lit(True).alias("marker"), F.lit(None).cast("string").alias("text"))
 
     def edit(batches):
         press = zstandard.ZstdCompressor()

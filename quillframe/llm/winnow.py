@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quillframe.llm.common import ALNUM_BYTES, LOWER, U64, Words, cover, runs, sliding_min_at, store, text_blocks
+from quillframe.llm.common import ALNUM_BYTES, LOWER, Words, cover, runs, sliding_min_at, store, text_blocks
 from quillframe.shipping import ship
 
 WINDOW, GRAM = 13, 5
@@ -136,11 +136,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int
 
     clean: only the columns, without contaminated documents, the hit runs of the others cut out.
     """
+    extra = ["__n_words", "__spans", "__items"] if clean else ["n_words", "spans", "items"]
     spark = docs.sparkSession
     ship(spark)
     cols = list(dict.fromkeys([*keep, "text"]))
     out = docs.select(*cols)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema) + ", n_words long, spans array<struct<first:int,last:int,start:long,end:long>>, items array<string>"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema) + f", {extra[0]} long, {extra[1]} array<struct<first:int,last:int,start:long,end:long>>, {extra[2]} array<string>"
     span_type = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
     plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
     blocks = test_blocks(benchmark, block_bytes)
@@ -157,7 +158,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int
                 words = lowered(buf, offs)
                 flags, found = test.hits(words)
                 if number:  # hits of the blocks before
-                    for d, (old, items) in enumerate(zip(rows.column("spans").to_pylist(), rows.column("items").to_pylist(), strict=True)):
+                    for d, (old, items) in enumerate(zip(rows.column(extra[1]).to_pylist(), rows.column(extra[2]).to_pylist(), strict=True)):
                         for s in old:
                             flags[words.first[d] + s["first"] : words.first[d] + s["last"]] = True
                         found[d].update(items)
@@ -171,7 +172,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int
                     continue
                 yield pa.RecordBatch.from_arrays(
                     [*(rows.column(c) for c in cols), pa.array(words.count.astype(np.int64)), pa.array([spans.get(d, []) for d in range(rows.num_rows)], span_type), pa.array([sorted(x) for x in found], pa.list_(pa.string()))],
-                    names=[*cols, "n_words", "spans", "items"],
+                    names=[*cols, *extra],
                 )
 
         if number:

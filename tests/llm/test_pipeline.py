@@ -26,7 +26,7 @@ def test_stages(spark, tmp_path):
         rows.append((i, t, "en", "s", len(t)))
     rows += [(500, None, "en", "s", None), (501, "", None, None, 0)]
     d = str(tmp_path)
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "7 as spans", "'x' as items", "1.5 as score", "2 as part").write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(i, 0 if i % 10 == 0 else 1, 0) for i in range(200)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     spark.createDataFrame([(1, leak), (2, text(20))], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     docs = spark.read.parquet(f"{d}/documents.parquet")
