@@ -49,8 +49,9 @@ class ChunkEncoder:
     never put a letter and the full stop or comma behind it into one piece.
     """
 
-    #: Whole texts go to the library where str.split() and str.lower() might differ from it, or special tokens begin.
-    _odd = re.compile("[\x1c-\x1f\u0130\u03a3]|<\\|")
+    #: Whole texts go to the library where str.split() and str.lower() might differ from it,
+    #: marks could be composed after lower-casing only, or special tokens begin.
+    _odd = re.compile("[\x1c-\x1f\u0130\u03a3\u0300-\u036f]")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -104,7 +105,7 @@ class ChunkEncoder:
             memo[w] = memo[w[:-1]] + memo[w[-1]]
 
     def __call__(self, text: str) -> bytes:
-        if self._odd.search(text):
+        if "<|" in text or self._odd.search(text):
             return self._pack(self.lib.encode(text, add_special_tokens=False).ids)
         words, memo = text.lower().split(), self.memo
         try:

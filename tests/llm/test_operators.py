@@ -93,6 +93,16 @@ def test_token_files(spark, docs):
     compare(token_files(spark, docs, public_tokenizers.path("word_bpe_49k.json")), want)
 
 
+def test_chunks_encode_like_the_library():
+    from quillframe.llm.token_files import encoder
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib, own, dice = Tokenizer.from_file(path), encoder(path), random.Random(6)
+    texts = ["".join(dice.choice(" ab\n.,'sTÉ1²\x1cH\u0331J\u030cKΣİ<|>\t\u3000ez") for _ in range(dice.randint(0, 40))) for _ in range(800)]
+    texts += ["x<|endoftext|>y <|ENDOFTEXT|>", "it's I'LL don't.", "Straße, STRASSE.", "ΣΑΣ Σας", "W\u030aord T\u0308"]
+    assert [np.frombuffer(own(t), own.kind).tolist() for t in texts] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_token_files_ties_nulls_and_no_rows(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     got = sorted(tuple(r)[:3] for r in token_files(spark, frame(spark, [(5, "b"), (5, "b"), (5, "a c"), (None, "z")]), path).collect() if r.doc_id)
