@@ -82,9 +82,8 @@ class ChunkEncoder:
             word = word.encode().decode("latin-1").translate(self.names)
         return [t.id for t in self.model.tokenize(word)]
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[str], new: set[str]) -> None:
         memo = self.memo
-        new = {w for w in words if w not in memo}
         if len(memo) + len(new) > MEMO:
             memo.clear()
             new = {*words}
@@ -108,10 +107,9 @@ class ChunkEncoder:
         if "<|" in text or self._odd.search(text):
             return self._pack(self.lib.encode(text, add_special_tokens=False).ids)
         words, memo = text.lower().split(), self.memo
-        try:
-            return b"".join([memo[w] for w in words])
-        except KeyError:
-            self._learn(words)
+        new = {*words}.difference(memo)
+        if new:
+            self._learn(words, new)
         return b"".join([memo[w] for w in words])
 
 
