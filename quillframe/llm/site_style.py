@@ -10,7 +10,8 @@ show each content feature of it (the text of a leaf) are counted.  A page's bran
 * content importance of a leaf: 1 - the mean over its features of log pages / log m;
 * composite importance: (1 - g^l) presentation + g^l mean of its l children, g = 0.9.
 
-Branches under ``LEAST`` go.  A host with few pages says little, and copies of an article
+Branches go if they and all their descendants are under ``LEAST``.  Pages of one host with
+equal trees are copies, counted once, and are extracted each.  A host with few pages says little, and copies of an article
 on one host say the wrong thing, so elements speak first: navigation, page headers and
 footers, sidebars, notices, adverts, forms, scripts, styles and comments go by tag, role,
 id or class; where a page has article (else main) elements the text is what they hold,
@@ -18,7 +19,7 @@ and inside them only branches that are both unimportant and mostly links go.
 
 The counts are packed questions (see ``packed``): one entry a block and key however many
 pages of the block share a host.  Null html is empty and gives '' ; null urls are one host.
-Repeated rows count and are extracted each.  Broken markup is read as browsers would:
+Broken markup is read as browsers would:
 paragraphs, list items, rows and cells end where the next begins, and all ends at the end.
 """
 
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from quillframe.llm.common import U64
-from quillframe.llm.packed import Distinct, answer, ask, cut, meet, pack, parse, partitions
+from quillframe.llm.packed import Distinct, answer, ask, bits, cut, meet, pack, parse, partitions, unbits
 
 LEAST, DECAY = 0.4, 0.9
 
@@ -105,7 +106,7 @@ class Page:
     """Block tree of one page."""
 
     def __init__(self, source: str):
-        self.root = Node("html", "html", 0, False)
+        self.root, self.mark = Node("html", "html", 0, False), 0
         stack = [self.root]
         text: list[str] = []
         linked = 0
@@ -192,7 +193,7 @@ class Page:
         flush()
 
     def keys(self, host: int) -> list[int]:
-        """Hashes of the page's nodes, their styles and their features; sets node.key."""
+        """Hashes of the page's nodes, their styles and their features; sets node.key and mark, which copies share."""
         out: list[int] = []
 
         def walk(node: Node, path: int) -> None:
@@ -211,11 +212,13 @@ class Page:
                     walk(c, key)
 
         _deep(walk, self.root, host)
+        self.mark = xxhash.xxh64_intdigest(np.array(out, U64).tobytes())
         return out
 
     def text(self, seen) -> str:
         """seen(key): pages of the host that have a node, style or feature."""
         importance: dict[int, float] = {}
+        best: dict[int, float] = {}  # the most important of a node and its descendants
 
         def weigh(node: Node) -> float:
             m = seen(node.key)
@@ -231,6 +234,7 @@ class Page:
             inner = sum(parts) / len(parts) if parts else 0.0
             own = inner if not any(c.__class__ is Node for c in node.children) else (1 - DECAY ** len(parts)) * look + DECAY ** len(parts) * inner
             importance[id(node)] = own
+            best[id(node)] = max(own, *(best.setdefault(id(c), w) for c, w in zip(node.children, parts, strict=True)), 0.0)
             return own
 
         _deep(weigh, self.root)
@@ -263,11 +267,12 @@ class Page:
         def take(node: Node) -> None:
             for c in node.children:
                 if c.__class__ is not Node:
-                    blocks.append(c[0])
+                    if inside or node is self.root or max(importance[id(node)], best[id(c)]) >= LEAST:
+                        blocks.append(c[0])
                     continue
                 if c.noise == 2 or (c.noise == 1 and not inside):
                     continue
-                low, linked = importance[id(c)] < LEAST, c.links > 0.5 * max(1, c.size)
+                low, linked = best[id(c)] < LEAST, c.links > 0.5 * max(1, c.size)
                 if (low and linked) or (not inside and (low or c.links > 0.8 * max(1, c.size))):
                     continue
                 take(c)
@@ -323,19 +328,44 @@ def extract(pages: DataFrame) -> DataFrame:
         for url, source in zip(batch.column("url").to_pylist(), batch.column("text").to_pylist(), strict=True):
             yield Page(source or ""), xxhash.xxh64_intdigest(host_of(url))
 
-    def all_keys(batch) -> tuple[list[Page], Distinct]:
+    def all_keys(batch) -> tuple[list[Page], Distinct, np.ndarray]:
         out, keys = [], []
         for page, host in read(batch):
             keys.append(np.fromiter(set(page.keys(host)), U64))
             out.append(page)
-        return out, Distinct(np.concatenate(keys or [np.zeros(0, U64)]))
+        return out, Distinct(np.concatenate(keys or [np.zeros(0, U64)])), np.array([len(k) for k in keys], np.int64)
+
+    def marks(batch, _):
+        pages = list(read(batch))
+        for page, host in pages:
+            page.keys(host)
+        m = Distinct(np.array([page.mark for page, _ in pages], U64))
+        ends = cut(m.values, parts)
+        for p in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
+            yield p, m.values[ends[p] : ends[p + 1]].tobytes()
+
+    def elect(bodies):
+        """One block of those that have a page is told to count it."""
+        sizes = [len(x) // 8 for x in bodies]
+        m = Distinct(np.concatenate([np.frombuffer(x, U64) for x in bodies]))
+        counts = np.zeros(sum(sizes), bool)
+        counts[m.order[m.at]] = True
+        ends = np.cumsum([0, *sizes])
+        return [bits(counts[a:z]) for a, z in zip(ends[:-1], ends[1:], strict=True)]
 
-    def merge(batch, _):
-        _, d = all_keys(batch)
+    def merge(batch, answers):
+        pages, d, size = all_keys(batch)
+        m = Distinct(np.array([page.mark for page in pages], U64))
+        ends = cut(m.values, parts)
+        counts = np.zeros(len(pages), np.int64)
+        for p in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
+            a, z = ends[p], ends[p + 1]
+            counts[m.order[m.at[a:z]]] = unbits(answers[p], int(z - a))
+        seen = np.add.reduceat(np.repeat(counts, size)[d.order], d.at) if len(d.at) else d.at
         ends = cut(d.values, parts)
         for p in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
             a, z = ends[p], ends[p + 1]
-            yield p, d.values[a:z].tobytes() + d.size[a:z].astype("<u4").tobytes()
+            yield p, d.values[a:z].tobytes() + seen[a:z].astype("<u4").tobytes()
 
     def count(bodies):
         sizes = [len(x) // 12 for x in bodies]
@@ -345,12 +375,13 @@ def extract(pages: DataFrame) -> DataFrame:
         ends = np.cumsum([0, *sizes])
         return [total[a:z].tobytes() for a, z in zip(ends[:-1], ends[1:], strict=True)]
 
-    seen = answer(ask(table, merge, parts, of=lambda batch: batch), count, parts, "style-trees")
+    counted = answer(ask(table, marks, parts, of=lambda batch: batch), elect, parts, "style-copies")
+    seen = answer(ask((table, counted), merge, parts, of=lambda batch: batch), count, parts, "style-trees")
 
     def run(groups):
         for _, body, answers in groups:
             batch = parse(body)
-            pages, d = all_keys(batch)
+            pages, d, _ = all_keys(batch)
             ends = cut(d.values, parts)
             counts = np.concatenate([np.frombuffer(answers[p], "<i8") for p in np.flatnonzero(ends[1:] > ends[:-1]).tolist()] or [np.zeros(0, np.int64)])
             known = dict(zip(d.values.tolist(), counts.tolist(), strict=True))

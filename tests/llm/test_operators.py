@@ -193,6 +193,16 @@ def test_style_tree_without_article(spark):
     assert {r.page_id: r.text for r in got}[7] == "Story number 7 tells of 7 things.\nThen 7 more."
 
 
+def test_style_tree_keeps_what_holds_important_blocks(spark):
+    paragraphs = "".join(f"<p>Part {k} of story {{n}} tells of {{n}} things.</p>" for k in range(20))
+    body = f"<html><body><div>all pages say this</div><div><h1>Story {{n}}</h1>{paragraphs}</div><div>Made with care</div></body></html>"
+    copies = "<html><body><div><h1>Copy</h1><p>One text.</p><p>Another text.</p></div></body></html>"
+    pages = [(k, "http://long.org/x", body.replace("{n}", str(k))) for k in range(40)] + [(k, f"http://pair.org/{k}", copies) for k in (100, 101)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got[7] == "\n".join(["Story 7", *(f"Part {k} of story 7 tells of 7 things." for k in range(20))])
+    assert got[100] == got[101] == "Copy\nOne text.\nAnother text."
+
+
 def test_entities_like_the_library():
     for t in ("&amp;lt;", "&notit;", "&#0;", "&#x80;", "&copy2", "&unknown;"):
         assert Page(f"<article>{t}</article>").text(lambda k: 1) == " ".join(html.unescape(t).split())
