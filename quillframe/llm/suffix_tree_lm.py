@@ -16,7 +16,9 @@ Counting is done by packed questions (see ``packed``).  Contexts go to the parti
 their hash, except those with a ``1/hot`` share of all tokens or more: there are at most
 ``hot`` of them a depth, their next tokens are dealt out over all partitions, and only their
 sums (one row each) come to the driver.  Probabilities travel as 16-bit
-logarithms (steps of 12/65535 of a decade; 1e-12 is the least).
+logarithms in steps of 12/65535 of a decade, or more if 1 / (N + L) is below 1e-11: no token
+seen after its context is less likely than that.  Of tokens never seen there only n + L
+travels, and the block puts it to its own L p(w), so there is no least probability.
 
 Null texts are empty: one end token.  Repeated rows count and are scored each.  Without
 training texts N and V are 0 and every token has the same base probability.
@@ -36,7 +38,7 @@ from quillframe.llm.packed import Distinct, Texts, answer, ask, bits, cut, meet,
 DEPTH, LEAST, DIVERGENCE, PRIOR, HOT = 2, 32, 0.02, 200.0, 4000
 END = U64(0x5851F42D4C957F2D)
 SUMS = -7  # part of the rows that carry a partition's sums
-_STEP = 12 / 65535
+_STEPS, _DECADES = 65535, 12
 
 
 def planes(x: np.ndarray, kind: str = "<u8") -> bytes:
@@ -65,6 +67,10 @@ class Tree:
         """Of token sequences: 0 rare, 1 a context, 2 a frequent one."""
         return (counts >= LEAST).astype(np.int8) + (counts >= max(LEAST, self.total / HOT))
 
+    @property
+    def step(self) -> float:
+        return max(_DECADES, self.shift + 1) / _STEPS
+
     def root(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 0.1) / (self.total + 0.1 * (self.kinds + 1)))
 
@@ -128,19 +134,22 @@ class _Block:
         for d in range(1, depth):
             level = _Level(self, d, state, parts)
             kept, value, seen = np.zeros(len(level.first), bool), np.zeros(len(level.first)), np.zeros(len(level.first), np.int8)
+            unseen = np.zeros(len(level.first), bool)
             for p in np.flatnonzero(level.ends[1:] > level.ends[:-1]).tolist():
                 a, z = level.ends[p], level.ends[p + 1]
                 body = answers[d * parts + p]
                 n = int(z - a)
-                flags = unbits(body, 3 * n).reshape(3, n)
+                flags = unbits(body, 4 * n).reshape(4, n)
                 kept[a:z] = flags[0]
                 seen[a:z] = flags[1].astype(np.int8) + flags[2]
-                value[a:z][flags[0]] = -_STEP * np.frombuffer(body, "<u2", offset=(3 * n + 7) // 8)
+                unseen[a:z] = flags[3]
+                value[a:z][flags[0]] = -tree.step * np.frombuffer(body, "<u2", offset=(4 * n + 7) // 8)
             names, totals, keep = tree.frequent[d - 1]
             if level.hot.any():
                 where = np.searchsorted(names, level.ctx[level.hot])
                 kept[level.hot] = keep[where]
-                value[level.hot] += tree.shift - np.log10(totals[where] + PRIOR)
+                value[level.hot] += np.where(unseen[level.hot], 0.0, tree.shift) - np.log10(totals[where] + PRIOR)
+            value[unseen] += np.log10(PRIOR) + logp[level.lead[unseen]]
             mine = kept[level.group]
             logp[level.at[mine]] = value[level.group[mine]]
             grams = np.zeros(len(self.token), np.int8)
@@ -204,7 +213,7 @@ def score(docs: DataFrame, depth: int = DEPTH, divergence: float = DIVERGENCE) -
             b = _Block(t)
             _, logp, state = b.walk(held.value, answers, d)
             level = _Level(b, d, state, parts)
-            scaled = np.clip(np.round(-logp[level.lead] / _STEP), 1, 65535).astype("<u2")
+            scaled = np.clip(np.round(-logp[level.lead] / held.value.step), 1, _STEPS).astype("<u2")
             for p in np.flatnonzero(level.ends[1:] > level.ends[:-1]).tolist():
                 a, z = level.ends[p], level.ends[p + 1]
                 ctx = level.ctx[a:z]
@@ -235,7 +244,7 @@ def score(docs: DataFrame, depth: int = DEPTH, divergence: float = DIVERGENCE) -
             at = np.flatnonzero(new_ctx | np.concatenate(([True], x[1:] != x[:-1])))
             size = np.diff(np.append(at, len(c)))
             total = np.add.reduceat(seen[order], at)
-            p = 10.0 ** (-_STEP * scaled[order][at])
+            p = 10.0 ** (-held.value.step * scaled[order][at])
             top = np.flatnonzero(new_ctx[at])
             n = np.add.reduceat(total, top)
             each = np.diff(np.append(top, len(at)))
@@ -244,7 +253,8 @@ def score(docs: DataFrame, depth: int = DEPTH, divergence: float = DIVERGENCE) -
             gain = np.add.reduceat(gain, top)
             open_ = hot[order][at][top]
             kept = (n > 1) & ((gain - n * np.log(np.maximum(n - 1 + PRIOR, 1e-9))) >= divergence * n)
-            value = np.log10(total + PRIOR * p) - np.repeat(np.where(open_, 0.0, np.log10(n + PRIOR)), each)
+            unseen = total == 0  # their p may be less than what can travel
+            value = np.where(unseen, 0.0, np.log10(total + PRIOR * p)) - np.repeat(np.where(open_, 0.0, np.log10(n + PRIOR)), each)
             show = np.repeat(kept | open_, each)
             back = np.empty(len(c), np.int64)
             back[order] = np.repeat(np.arange(len(at)), size)
@@ -252,10 +262,11 @@ def score(docs: DataFrame, depth: int = DEPTH, divergence: float = DIVERGENCE) -
             out = []
             level = held.value.level(total)
             # of frequent contexts the value lacks their n: log10 of counts, moved below 0 by the largest count there can be
-            scaled = np.clip(np.round(-(value - np.repeat(np.where(open_, held.value.shift, 0.0), each)) / _STEP), 0, 65535).astype("<u2")
+            value -= np.where(unseen, 0.0, np.repeat(np.where(open_, held.value.shift, 0.0), each))
+            scaled = np.clip(np.round(-value / held.value.step), 0, _STEPS).astype("<u2")
             for a, z in zip(ends[:-1], ends[1:], strict=True):
                 g = back[a:z]
-                out.append(bits(np.concatenate([show[g], level[g] > 0, level[g] > 1])) + scaled[g][show[g]].tobytes())
+                out.append(bits(np.concatenate([show[g], level[g] > 0, level[g] > 1, unseen[g]])) + scaled[g][show[g]].tobytes())
             names = c[at][top][open_].view(np.int64)
             return out, list(zip(names.tolist(), n[open_].tolist(), gain[open_].tolist(), strict=True))
 

@@ -250,6 +250,17 @@ def test_suffix_tree(docs):
         assert r.base_score == pytest.approx(base, abs=1e-6) and r.score == pytest.approx(score, abs=3e-4 * n)
 
 
+def test_suffix_tree_words_unseen_after_frequent_contexts(spark):
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    rows = [(i, "x x zebra x x" if held(i) else "x x y y a b c d " * 1000) for i in range(120)]
+    want, kept = brute_tree(rows, suffix_tree_lm.DEPTH, suffix_tree_lm.LEAST, suffix_tree_lm.PRIOR, suffix_tree_lm.DIVERGENCE)
+    assert ("x",) in kept and ("x", "x") in kept
+    got = by_id(suffix_tree_lm.score(frame(spark, rows)))
+    for i, (n, *_, score) in want.items():
+        if held(i):
+            assert got[i].score == pytest.approx(score, abs=3e-4 * n)  # log10 p(zebra | x x) is below -12
+
+
 def test_suffix_tree_no_training_rows(spark):
     assert suffix_tree_lm.score(frame(spark, [])).count() == 0
     (r,) = suffix_tree_lm.score(frame(spark, [(None, "a b")])).collect()
