@@ -41,7 +41,7 @@ pair("boolean_logic", "SELECT o_orderkey FROM orders WHERE NOT (o_orderstatus =
 pair("typed_date", "SELECT o_orderkey FROM orders WHERE o_orderdate >= '1995-01-01' AND o_orderdate < '1995-02-01'")
 pair("relative_date", "SELECT COUNT(*) AS n FROM orders WHERE o_orderdate = THIS_YEAR() OR o_orderdate = LAST_MONTH()", "SELECT COUNT(*) AS n FROM orders WHERE (o_orderdate >= DATE '1996-01-01' AND o_orderdate < DATE '1997-01-01') OR (o_orderdate >= DATE '1996-06-01' AND o_orderdate < DATE '1996-07-01')")
 pair("as_of_clock", "SELECT COUNT(*) AS n FROM orders WHERE o_orderdate >= @MONTH_START() AND o_orderdate < @NEXT_MONTH_START()", "SELECT COUNT(*) AS n FROM orders WHERE o_orderdate >= DATE '1996-07-01' AND o_orderdate < DATE '1996-08-01'")
-pair("arithmetic", "SELECT l_orderkey, l_linenumber, ROUND(l_extendedprice * (1 - l_discount) * (1 + l_tax), 2) AS charge, -l_quantity AS q, l_linenumber % 3 AS m FROM lineitem WHERE l_orderkey < 500", "SELECT l_orderkey, l_linenumber, floor(l_extendedprice * (1 - l_discount) * (1 + l_tax) * 100 + 0.5) / 100 AS charge, -l_quantity AS q, CAST(l_linenumber % 3 AS BIGINT) AS m FROM lineitem WHERE l_orderkey < 500")
+pair("arithmetic", "SELECT l_orderkey, l_linenumber, ROUND(l_extendedprice * (1 - l_discount) * (1 + l_tax), 2) AS charge, -l_quantity AS q, l_linenumber % 3 AS m FROM lineitem", "SELECT l_orderkey, l_linenumber, floor(l_extendedprice * (1 - l_discount) * (1 + l_tax) * 100 + 0.5) / 100 AS charge, -l_quantity AS q, CAST(l_linenumber % 3 AS BIGINT) AS m FROM lineitem")
 pair("division", "SELECT COUNT(*) AS n FROM part WHERE p_retailprice / p_size > 100", "SELECT COUNT(*) AS n FROM part WHERE p_size = 0 OR p_retailprice / nullif(p_size, 0) > 100")
 pair("concat", "SELECT c_custkey, c_name || ' / ' || c_mktsegment AS label, CONCAT(c_custkey, '-', c_nationkey) AS code FROM customer")
 pair("case_when", "SELECT o_orderkey, CASE WHEN o_totalprice >= 300000 THEN 'S' WHEN o_totalprice >= 100000 THEN 'A' ELSE 'B' END AS rank, IF(o_orderstatus = 'O', 1, 0) AS open FROM orders", "SELECT o_orderkey, CASE WHEN o_totalprice >= 300000 THEN 'S' WHEN o_totalprice >= 100000 THEN 'A' ELSE 'B' END AS rank, CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END AS open FROM orders")
@@ -82,7 +82,7 @@ pair("rollup_empty", "SELECT o_orderstatus, COUNT(*) AS n FROM orders WHERE o_to
 pair("rank_family", "SELECT c_custkey, ROW_NUMBER() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rn, RANK() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS rk, DENSE_RANK() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS dr FROM customer", "SELECT c_custkey, CAST(ROW_NUMBER() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS INTEGER) AS rn, CAST(RANK() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS INTEGER) AS rk, CAST(DENSE_RANK() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS INTEGER) AS dr FROM customer")
 pair("lag_lead", "SELECT o_orderkey, LAG(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before, LEAD(o_orderkey, 2) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS after FROM orders")
 pair("running_rows", "SELECT o_orderkey, ROUND(SUM(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS running FROM orders")
-pair("running_range", "SELECT l_orderkey, l_linenumber, COUNT(*) OVER (PARTITION BY l_orderkey ORDER BY l_quantity) AS upto, MIN(l_quantity) OVER (PARTITION BY l_orderkey) AS least, MAX(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS most FROM lineitem WHERE l_orderkey < 3000")
+pair("running_range", "SELECT l_orderkey, l_linenumber, COUNT(*) OVER (PARTITION BY l_orderkey ORDER BY l_quantity) AS upto, MIN(l_quantity) OVER (PARTITION BY l_orderkey) AS least, MAX(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS most FROM lineitem")
 pair("share_of_total", "SELECT o_orderstatus, ROUND(SUM(o_totalprice) * 100 / SUM(SUM(o_totalprice)) OVER (), 4) AS share FROM orders GROUP BY o_orderstatus")
 pair("top_n_per_group", "WITH ranked AS (SELECT c_nationkey, c_custkey, ROW_NUMBER() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rn FROM customer) SELECT c_nationkey, c_custkey FROM ranked WHERE rn <= 3")
 # ------------------------------------------------------------ order and limit

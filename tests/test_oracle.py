@@ -46,3 +46,10 @@ def test_entry_without_optional_folders(tmp_path):
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); print(len(q), any(k.startswith('op1_') for k in q), 'pipeline' in q)"], cwd=tmp_path, capture_output=True, text=True, timeout=120)
     assert out.returncode == 0, out.stderr
     assert out.stdout.split() == [str(len(queries.queries())), "False", "False"]
+
+
+@pytest.mark.parametrize("name", ["arithmetic", "running_range"])
+def test_all_of_lineitem(spark, name):
+    larger = DATA.replace("sf0.001", "sf0.1")
+    rows = spark.read.parquet(f"{larger}/lineitem.parquet").count()
+    assert queries.queries()[name](spark, larger).count() == rows
