@@ -20,15 +20,18 @@ Step 3 recurses by rank doubling over the reduced string, not by another inducti
 alphabet is as large as the string, so an induction would go on tuple by tuple; and as
 prefixes beyond ``length`` bytes decide nothing, a bounded number of rounds is enough.
 
-Text, queues and ranks are arrays that live in files of the executor's scratch folders
+Text, types, queues, ranks, orders and flags are arrays that live in files of the executor's scratch folders
 (``SPARK_LOCAL_DIRS``, as Spark's own spills) once a shard has ``IN_MEMORY`` bytes or more;
-the files are unlinked when made, so nothing is left behind whatever happens.
+the files are unlinked when made, so nothing is left behind whatever happens.  Such an array
+is read and written ``AT_ONCE`` entries at a time and sorted in place; in memory stay only the
+sizes and offsets of the strings.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterable
 
 import numpy as np
 
@@ -52,6 +55,11 @@ class Room:
             return np.memmap(f, kind, "w+", shape=(n,))
 
 
+def spans(n: int):
+    for a in range(0, n, AT_ONCE):
+        yield a, min(n, a + AT_ONCE)
+
+
 class BucketQueue:
     """A priority queue of (position, common prefix) keyed by (symbol, arrival)."""
 
@@ -98,19 +106,27 @@ class BucketQueue:
 
 
 class Sorter:
-    def __init__(self, strings: list[bytes], length: int, in_memory: int = IN_MEMORY):
-        total = sum(map(len, strings)) + len(strings) + 1
+    def __init__(self, sizes: np.ndarray, strings: Iterable[bytes], length: int, in_memory: int = IN_MEMORY):
+        total = int(sizes.sum()) + len(sizes) + 1
         room = self.room = Room(total, in_memory)
         self.cap, self.n = length, total
         text = self.text = room(total, np.uint16)  # bytes + 2; 1 ends a string, 0 the text
-        sizes = np.array([len(s) for s in strings], np.int64)
         self.offset = np.cumsum(sizes + 1) - sizes - 1
-        at = 0
-        for k in range(0, len(strings), 4096):
-            part = np.frombuffer(b"\0".join([*strings[k : k + 4096], b""]), np.uint8)
+        at, some, held = 0, [], 0
+
+        def write() -> None:
+            nonlocal at, some, held
+            part = np.frombuffer(b"\0".join([*some, b""]), np.uint8)
             text[at : at + len(part)] = part
             text[at : at + len(part)] += 2
-            at += len(part)
+            at, some, held = at + len(part), [], 0
+
+        for x in strings:
+            some.append(x)
+            held += len(x)
+            if held >= AT_ONCE:
+                write()
+        write()
         text[self.offset + sizes] = 1
         text[total - 1] = 0
         self.alphabet = 258
@@ -121,15 +137,27 @@ class Sorter:
 
     def _types(self) -> None:
         t = self.text
-        differs = np.flatnonzero(t[1:] != t[:-1])
-        upto = np.diff(np.concatenate(([0], differs + 1, [self.n])))
-        smaller = np.append(t[differs] < t[differs + 1], True)
-        self.small = np.repeat(smaller, upto)  # S
-        before = np.concatenate(([True], self.small[:-1]))
-        self.lms = np.flatnonzero(self.small & ~before)
-        count = lambda x: np.bincount(x, minlength=self.alphabet)
-        self.of_small = count(t[self.small])
-        self.of_large = count(t) - self.of_small
+        small = self.small = self.room(self.n, bool)  # S
+        self.of_small, of_all = np.zeros(self.alphabet, np.int64), np.zeros(self.alphabet, np.int64)
+        for a, z in reversed(list(spans(self.n))):
+            x = np.array(t[a : z + 1])
+            differs = np.flatnonzero(x[1:] != x[:-1])
+            upto = np.diff(np.concatenate(([0], differs + 1, [z - a])))
+            own = np.repeat(np.append(x[differs] < x[differs + 1], small[z] if z < self.n else True), upto)
+            small[a:z] = own
+            self.of_small += np.bincount(x[: z - a][own], minlength=self.alphabet)
+            of_all += np.bincount(x[: z - a], minlength=self.alphabet)
+        self.of_large = of_all - self.of_small
+
+        def leftmost(a: int, z: int) -> np.ndarray:
+            return a + np.flatnonzero(small[a:z] & ~np.concatenate(([small[a - 1] if a else True], small[a : z - 1])))
+
+        self.lms = self.room(sum(len(leftmost(a, z)) for a, z in spans(self.n)), np.int64)
+        at = 0
+        for a, z in spans(self.n):
+            x = leftmost(a, z)
+            self.lms[at : at + len(x)] = x
+            at += len(x)
 
     def prefix(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Common prefixes of suffix pairs, cut at the cap: halving over hashes of spans."""
@@ -156,8 +184,10 @@ class Sorter:
         """
         t, carry = self.text, shared is not None
         large = BucketQueue(self.of_large, self.room, carry)
-        symbol = t[lms]
-        edges = np.searchsorted(symbol, np.arange(self.alphabet + 1))
+        edges = np.zeros(self.alphabet + 1, np.int64)
+        for a, z in spans(len(lms)):
+            edges[1:] += np.bincount(t[lms[a:z]], minlength=self.alphabet)
+        edges = np.cumsum(edges)
         for c in range(self.alphabet):
             done, last = 0, -1
             while True:
@@ -169,7 +199,7 @@ class Sorter:
                 last = int(x[-1])
                 self._pass(large, x, large.shared[own].astype(np.int64) if carry else None, lambda s, c=c: s >= c)
             for lo in range(int(edges[c]), int(edges[c + 1]), AT_ONCE):
-                x = lms[lo : min(lo + AT_ONCE, int(edges[c + 1]))]
+                x = np.array(lms[lo : min(lo + AT_ONCE, int(edges[c + 1]))])
                 scan = None
                 if carry:
                     scan = shared[lo : lo + len(x)].astype(np.int64)
@@ -177,11 +207,12 @@ class Sorter:
                         scan[0] = self._one(last, int(x[0])) if last >= 0 else 0
                 self._pass(large, x, scan, lambda s, c=c: s > c)
         small = BucketQueue(self.of_small, self.room, carry)
-        ordered = []
+        ordered, left = (None, 0) if carry else (self.room(len(lms), np.int64), len(lms))
         for c in range(self.alphabet - 1, -1, -1):
             done, last = 0, -1
             if c == 0:  # the end of the text: no suffix is smaller
-                ordered.append(np.array([self.n - 1]))
+                if not carry:
+                    ordered[0] = self.n - 1
                 break
             while True:
                 own = small.taken(c, done)
@@ -195,7 +226,9 @@ class Sorter:
                 if visit is not None:
                     visit(x, scan)
                 if not carry:
-                    ordered.append(x[np.where(x > 0, ~self.small[x - 1], False)])
+                    x = x[np.where(x > 0, ~self.small[x - 1], False)]
+                    ordered[left - len(x) : left] = x[::-1]
+                    left -= len(x)
             low, high = int(large.start[c]), int(large.tail[c])
             for top in range(high, low, -AT_ONCE):
                 own = slice(max(low, top - AT_ONCE), top)
@@ -207,7 +240,7 @@ class Sorter:
                 self._pass(small, x, scan, lambda s, c=c: s < c)
                 if visit is not None:
                     visit(x, scan)
-        return np.concatenate([x[::-1] for x in reversed(ordered)])
+        return ordered
 
     def _pass(self, queue: BucketQueue, x: np.ndarray, scan: np.ndarray | None, wanted) -> None:
         before = x - 1
@@ -217,30 +250,65 @@ class Sorter:
 
     def sorted_lms(self) -> np.ndarray:
         """LMS suffixes ordered by their first ``cap`` bytes at least."""
-        lms, m = self.lms, len(self.lms)
-        by_first = lms[np.argsort(self.text[lms], kind="stable")]
-        order = self.induce(by_first, None)
-        end = np.append(lms[1:] + 1, self.n)
-        at = np.searchsorted(lms, order)
-        a, b, x, y = order[:-1], order[1:], end[at[:-1]], end[at[1:]]
-        same = (x - a == y - b) & (span_hash(self.sums, a, x) == span_hash(self.sums, b, y))
-        rank = np.empty(m, np.int64)
-        rank[at] = np.concatenate(([1], 1 + np.cumsum(~same)))
+        lms, m, room, low = self.lms, len(self.lms), self.room, U64(0xFFFFFFFF)
+        key, by, rank, named = room(m, U64), room(m, np.int64), room(m, np.int64), room(m, np.int64)
+
+        def sort(values) -> None:
+            """key: the places of values(from, to) in stable order, in the low halves."""
+            for a, z in spans(m):
+                key[a:z] = (values(a, z).astype(U64) << U64(32)) | np.arange(a, z, dtype=U64)
+            key.sort()
+
+        def places(a: int, z: int) -> np.ndarray:
+            return (key[a:z] & low).astype(np.int64)
+
+        sort(lambda a, z: self.text[lms[a:z]])
+        for a, z in spans(m):
+            by[a:z] = lms[places(a, z)]
+        order = self.induce(by, None)
+        last, names = None, 0
+        for a, z in spans(m):
+            x = np.array(order[a:z])
+            k = np.searchsorted(lms, x)
+            end = np.where(k + 1 < m, lms[np.minimum(k + 1, m - 1)] + 1, self.n)
+            p, q = (np.concatenate(([own[0] if last is None else was], own[:-1])) for own, was in zip((x, end), last or (0, 0), strict=True))
+            new = (q - p != end - x) | (span_hash(self.sums, p, q) != span_hash(self.sums, x, end))
+            new[0] |= last is None
+            rank[k] = names + np.cumsum(new)
+            names, last = names + int(new.sum()), (x[-1], end[-1])
         step = 1
-        while step <= self.cap and rank.max() < m:
-            after = np.zeros(m, np.int64)
-            after[: m - step] = rank[step:] if step < m else 0
-            key = rank * (m + 1) + after
-            by = np.argsort(key)
-            rank[by] = np.concatenate(([1], 1 + np.cumsum(key[by][1:] != key[by][:-1])))
+        while step <= self.cap and names < m:
+
+            def after(k, step=step):
+                return np.where(k + step < m, rank[np.minimum(k + step, m - 1)], 0)
+
+            sort(lambda a, z: after(np.arange(a, z)))
+            for a, z in spans(m):
+                by[a:z] = places(a, z)
+            sort(lambda a, z: rank[by[a:z]])
+            last, names = None, 0
+            for a, z in spans(m):
+                k = by[places(a, z)]
+                one, two = rank[k], after(k)
+                new = np.ones(len(k), bool)
+                new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+                new[0] = last != (one[0], two[0])
+                named[k] = names + np.cumsum(new)
+                names, last = names + int(new.sum()), (one[-1], two[-1])
+            rank, named = named, rank
             step *= 2
-        return lms[np.argsort(rank, kind="stable")]
+        sort(lambda a, z: rank[a:z])
+        for a, z in spans(m):
+            by[a:z] = lms[places(a, z)]
+        return by
 
     def starts(self) -> np.ndarray:
         """Flags of the places whose first ``cap`` symbols start elsewhere too."""
-        flags = np.zeros(self.n, bool)
+        flags = self.room(self.n, bool)
         order = self.sorted_lms()
-        shared = np.concatenate(([0], self.prefix(order[:-1], order[1:])))
+        shared = self.room(len(order), np.uint16)
+        for a, z in spans(len(order) - 1):
+            shared[a + 1 : z + 1] = self.prefix(order[a:z], order[a + 1 : z + 1])
 
         before = [0]
 
@@ -258,6 +326,6 @@ def repeat_starts(strings: list[bytes], length: int, in_memory: int = IN_MEMORY)
     """For each string: of each of its windows of ``length`` bytes, whether it starts elsewhere in the strings too."""
     if not strings:
         return []
-    sorter = Sorter(strings, length, in_memory)
+    sorter = Sorter(np.array([len(s) for s in strings], np.int64), strings, length, in_memory)
     flags = sorter.starts()
     return [flags[o : o + max(0, len(s) - length + 1)] for o, s in zip(sorter.offset.tolist(), strings, strict=True)]

@@ -7,7 +7,7 @@ they meet in the shard of that gram's hash:
 1. blocks ask which of their grams the corpus has twice or more (8-byte hashes cut to 5,
    one an entry and block; see ``packed``); all other stretches are unique and stay home;
 2. the other stretches go, as bytes, to the shards of their grams, each distinct one once
-   a block.  A shard keeps each distinct stretch once, and whether it came twice, and sorts
+   a block.  A shard takes each distinct stretch (by 128-bit digest) once, and whether it came twice, and sorts
    their suffixes by external induction (``induced_sort``); a window is repeated if a
    neighbour shares ``length`` bytes, or if its stretch came twice;
 3. blocks get a bit for every window asked about and remove what repeated windows cover.
@@ -23,11 +23,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 
 from quillframe.llm.common import BYTE_CODE, U64, cover, mix, prefix_sums, runs, sliding_min_at, window_hashes
-from quillframe.llm.induced_sort import repeat_starts
+from quillframe.llm.induced_sort import Sorter
 from quillframe.llm.packed import Distinct, Texts, answer, ask, bits, cut, meet, pack, parse, partitions, unbits
 
 LENGTH, GRAM = 200, 64
@@ -125,43 +126,61 @@ def repeats(docs: DataFrame, run, schema: str, length: int = LENGTH, gram: int =
             yield p, press.compress(b"".join([np.array([len(strings)], "<u4").tobytes(), sizes.tobytes(), grams.astype("<u8").tobytes(), bits(several), *strings]))
 
     def shard(bodies):
-        number: dict[bytes, int] = {}
-        often: list[bool] = []
-        key: list[int] = []
-        distinct: dict[int, int] = {}
-        asked: list[list[int]] = []
         unpress = zstandard.ZstdDecompressor()
-        for body in bodies:
+
+        def entries(body: bytes):
             x = unpress.decompress(body)
             n = int(np.frombuffer(x, "<u4", 1)[0])
             sizes = np.frombuffer(x, "<u4", n, 4).astype(np.int64)
-            grams = np.frombuffer(x, "<u8", n, 4 + 4 * n).tolist()
             at = 4 + 12 * n
-            several = unbits(x[at : at + (n + 7) // 8], n).tolist()
-            ends = at + (n + 7) // 8 + np.concatenate(([0], np.cumsum(sizes)))
-            row = []
-            for a, b, more, g in zip(ends[:-1].tolist(), ends[1:].tolist(), several, grams, strict=True):
-                s = x[a:b]
-                k = number.get(s)
-                if k is None:
-                    k = number[s] = len(often)
-                    often.append(more)
-                    key.append(g)
-                    distinct[g] = distinct.get(g, 0) + 1
-                else:
-                    often[k] = True
-                row.append(k)
-            asked.append(row)
+            return x, sizes, np.frombuffer(x, "<u8", n, 4 + 4 * n), unbits(x[at : at + (n + 7) // 8], n), at + (n + 7) // 8 + np.concatenate(([0], np.cumsum(sizes)))
+
+        # of each entry a 128-bit digest, size, gram and flag; the stretches themselves are read again where they go
+        cols: list[list[np.ndarray]] = [[], [], [], []]
+        for body in bodies:
+            x, sizes, grams, several, ends = entries(body)
+            sums = b"".join(xxhash.xxh3_128_digest(x[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+            for c, v in zip(cols, (np.frombuffer(sums, U64).reshape(-1, 2), sizes, grams.astype(U64), several), strict=True):
+                c.append(v)
+        of_body = np.cumsum([0, *(len(c) for c in cols[1])])
+        sums, sizes, grams, several = (np.concatenate(c) for c in cols)
+        cols.clear()
+        order = np.lexsort((sums[:, 1], sums[:, 0]))
+        new = np.concatenate(([True], (sums[order[1:]] != sums[order[:-1]]).any(axis=1)))
+        at = np.flatnonzero(new)
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(new) - 1
+        first = order[at]
+        often = (np.diff(np.append(at, len(order))) > 1) | np.logical_or.reduceat(several[order], at)
         # windows of one stretch differ (their gram lies elsewhere in each), so a gram's only distinct stretch has nothing to be sorted against
-        strings = list(number)
-        sort = [k for k, g in enumerate(key) if distinct[g] > 1]
-        found = [np.zeros(len(s) - length + 1, bool) for s in strings]
-        for k, flags in zip(sort, repeat_starts([strings[k] for k in sort], length), strict=True):
-            found[k] = flags
-        for k, more in enumerate(often):
-            if more:
-                found[k][:] = True
-        return [bits(np.concatenate([found[k] for k in row])) for row in asked]
+        d = Distinct(grams[first])
+        chosen = np.sort(first[d.spread(d.size > 1)])
+
+        def texts():
+            upto = np.searchsorted(chosen, of_body)
+            for k, body in enumerate(bodies):
+                if upto[k] < upto[k + 1]:
+                    x, _, _, _, ends = entries(body)
+                    for e in (chosen[upto[k] : upto[k + 1]] - of_body[k]).tolist():
+                        yield x[ends[e] : ends[e + 1]]
+
+        offset = np.full(len(first), -1, np.int64)
+        flags = np.zeros(0, bool)
+        if len(chosen):
+            sorter = Sorter(sizes[chosen], texts(), length)
+            flags = sorter.starts()
+            offset[number[chosen]] = sorter.offset
+        out = []
+        for a, z in zip(of_body[:-1].tolist(), of_body[1:].tolist(), strict=True):
+            windows = sizes[a:z] - length + 1
+            found = np.repeat(often[number[a:z]], windows)
+            to = 0
+            for n, o, more in zip(windows.tolist(), offset[number[a:z]].tolist(), often[number[a:z]].tolist(), strict=True):
+                if o >= 0 and not more:
+                    found[to : to + n] = flags[o : o + n]
+                to += n
+            out.append(bits(found))
+        return out
 
     answers = answer(ask((table, known), stretches, parts), shard, parts, "shards", shift=parts)
 

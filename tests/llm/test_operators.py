@@ -7,6 +7,7 @@ import io
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -15,7 +16,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from quillframe.llm import pairwise_quality, suffix_tree_lm
+from quillframe.llm import induced_sort, pairwise_quality, suffix_tree_lm
 from quillframe.llm.block_anchors import passage_digests, without_repeats
 from quillframe.llm.exact_digest import canonical, digest, fingerprints
 from quillframe.llm.induced_sort import repeat_starts
@@ -168,6 +169,31 @@ def test_induced_sort(seed):
         assert [x.tolist() for x in repeat_starts(strings, length, dice.choice([0, 1 << 30]))] == want  # in files, in memory
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_induced_sort_piece_by_piece(monkeypatch, seed):
+    dice = random.Random(seed)
+    monkeypatch.setattr(induced_sort, "AT_ONCE", dice.choice([1, 2, 5, 16]))
+    for _ in range(8):
+        letters = [bytes([c]) for c in dice.sample([0, 1, 97, 98, 255], dice.randint(1, 4))]
+        strings = [b"".join(dice.choice(letters) for _ in range(dice.randint(0, 60))) for _ in range(dice.randint(1, 6))]
+        length = dice.randint(2, 9)
+        c = Counter(s[i : i + length] for s in strings for i in range(len(s) - length + 1))
+        want = [[c[s[i : i + length]] > 1 for i in range(len(s) - length + 1)] for s in strings]
+        assert [x.tolist() for x in repeat_starts(strings, length, dice.choice([0, 1 << 30]))] == want
+
+
+def test_induced_sort_in_files_takes_little_memory(monkeypatch):
+    monkeypatch.setattr(induced_sort, "AT_ONCE", 1 << 14)
+    raw = np.random.default_rng(3).integers(97, 123, 2_000_000, np.uint8).tobytes()
+    strings = [raw[k : k + 300] for k in range(0, len(raw), 300)] * 2
+    tracemalloc.start()
+    got = repeat_starts(strings, 200, 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(x.all() for x in got if len(x))
+    assert peak < 8 * len(raw)
+
+
 # ------------------------------------------------------------------------ 3
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><article>no</article>";</script></head><body><header>Site name</header>
 <nav><ul><li><a href="/a">Home</a><li><a href='x>y'>About</a></ul></nav><!-- <article>no</article> --><div class="cookie-notice">We use cookies</div>
