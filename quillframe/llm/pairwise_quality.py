@@ -3,25 +3,29 @@
 Every labelled good document is preferred to every labelled bad one.  Scores are linear
 in features of the text alone; their weights come from logistic loss on the feature
 differences of preference pairs (P(a beats b) = sigmoid(score a - score b)).  The cut is
-the quantile of the training scores that equals the share of bad documents; scores are
-shifted so that it lies at ``THRESHOLD`` and squashed to 0..1.
+the quantile of the scores of all labelled documents of the training folds that equals the
+share of bad ones among them (ranks are exact up to ``RANKS`` rows, beyond that to one in
+``RANKS``); scores are shifted so that it lies at ``THRESHOLD`` and squashed to 0..1.
 
-Fitting uses at most ``SAMPLE`` labelled documents (the smallest hashes of doc_id, so the
+Fitting the weights uses at most ``SAMPLE`` labelled documents (the smallest hashes of doc_id, so the
 same ones on any cluster) and ``PAIRS`` pairs; every document is scored, in one pass
-without a shuffle.  Null texts are empty and scored like them.  Without labels of both
+without a shuffle, and before that the training folds for the cut, whose ids and scores
+meet the labels.  Null texts are empty and scored like them.  Without labels of both
 kinds every score is 0.5.  Repeated rows are scored alike; repeated labels count again.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quillframe.llm.common import U64, WORD_BYTES, Words, byte_table, text_blocks
+from quillframe.llm.common import U64, WORD_BYTES, Words, byte_table, drop_stored, store, text_blocks
 from quillframe.shipping import ship
 
-SAMPLE, PAIRS, THRESHOLD = 6000, 200_000, 0.3
+SAMPLE, PAIRS, THRESHOLD, RANKS = 6000, 200_000, 0.3, 100_000
 LINE_BYTES = byte_table((0x0A, 0x0A))
 
 FEATURES = [
@@ -139,10 +143,13 @@ class Ranking:
         z = np.clip((x - self.centre) / self.spread, -4, 4)
         return np.concatenate([z, np.abs(z)], axis=1)
 
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        return ((self._expand(x) - self.middle) / self.scale) @ self.weight
+
     def score(self, x: np.ndarray) -> np.ndarray:
         if not self.fitted:
             return np.full(len(x), 0.5)
-        s = ((self._expand(x) - self.middle) / self.scale) @ self.weight - self.cut
+        s = self.raw(x) - self.cut
         return 1 / (1 + np.exp(-np.clip(s + np.log(self.threshold / (1 - self.threshold)), -30, 30)))
 
 
@@ -151,12 +158,9 @@ def fold(doc_id: str = "doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranking:
-    """Fit on at most ``sample`` labelled rows of the training folds."""
-    chosen = (
-        labels.where("quality is not null and doc_id is not null").where(fold() != 0)
-        .select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") > 0).alias("good"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "good").limit(sample)
-    )
+    """Fit on at most ``sample`` labelled rows of the training folds, cut by all of them."""
+    labelled = labels.where("quality is not null and doc_id is not null").where(fold() != 0).select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") > 0).alias("good"))
+    chosen = labelled.orderBy(F.xxhash64("doc_id"), "doc_id", "good").limit(sample)
 
     def run(batches):
         for rows, buf, offs in text_blocks(batches):
@@ -166,7 +170,27 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranking:
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, good boolean, x array<double>").collect()
     rows.sort(key=lambda r: (r.doc_id, r.good, r.x))
-    return Ranking(np.array([r.x for r in rows]).reshape(len(rows), len(FEATURES)), np.array([r.good for r in rows], bool))
+    model = Ranking(np.array([r.x for r in rows]).reshape(len(rows), len(FEATURES)), np.array([r.good for r in rows], bool))
+    if model.fitted:
+        model.cut = _cut(docs, labelled, model)
+    return model
+
+
+def _cut(docs: DataFrame, labelled: DataFrame, model: Ranking) -> float:
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for rows, buf, offs in text_blocks(batches):
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(held.value.raw(features(buf, offs)))], names=["doc_id", "raw"])
+
+    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").where(fold() != 0).mapInArrow(run, "doc_id long, raw double")
+    scores = store(raw.join(labelled, "doc_id").select("raw", "good"), "quality-scores")
+    n, bad = scores.agg(F.count("*"), F.count_if(~F.col("good"))).first()
+    at = bad / n * (n - 1)
+    ranks = [(math.floor(at) + 0.5) / n, (math.ceil(at) + 0.5) / n]
+    low, high = scores.agg(F.percentile_approx("raw", ranks, RANKS)).first()[0]
+    drop_stored(scores)
+    return (low + high) / 2
 
 
 def score(docs: DataFrame, model: Ranking, keep: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
