@@ -211,7 +211,11 @@ class Page:
                 if c.__class__ is Node:
                     walk(c, key)
 
-        _deep(walk, self.root, host)
+        def whole() -> None:
+            out.clear()  # of a walk that ran out of room
+            walk(self.root, host)
+
+        _deep(whole)
         self.mark = xxhash.xxh64_intdigest(np.array(out, U64).tobytes())
         return out
 
