@@ -14,7 +14,8 @@ Branches go if they and all their descendants are under ``LEAST``.  Pages of one
 equal trees are copies, counted once, and are extracted each.  A host with few pages says little, and copies of an article
 on one host say the wrong thing, so elements speak first: navigation, page headers and
 footers, sidebars, notices, adverts, forms, scripts, styles and comments go by tag, role,
-id or class; where a page has article (else main) elements the text is what they hold,
+id or class (words of ids and classes alone remove no main element, nor, where no article or
+main element lies elsewhere, an article or most of the page's text outside links); where a page has article (else main) elements the text is what they hold,
 and inside them only branches that are both unimportant and mostly links go.
 
 The counts are packed questions (see ``packed``): one entry a block and key however many
@@ -69,18 +70,19 @@ _BREAK = re.compile(r"([a-z0-9])([A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "name", "noise", "main", "children", "links", "size", "key")
+    __slots__ = ("tag", "name", "noise", "main", "children", "links", "size", "key", "word")
 
     def __init__(self, tag: str, name: str, noise: int, main: bool):
         self.tag, self.name, self.noise, self.main = tag, name, noise, main
         self.children: list = []  # nodes, and (text, characters inside links)
         self.key = 0
+        self.word = False  # noise by words of its id or class alone
 
 
-def _attributes(tag: str, raw: str) -> tuple[str, int, bool]:
-    """Name in the style tree; 2: noise, 1: noise outside an article; whether it holds the main text."""
-    noise = 2 if tag in NOISE_TAGS else 1 if tag == "header" else 0
-    main, name = False, tag
+def _attributes(tag: str, raw: str) -> tuple[str, int, bool, bool]:
+    """Name in the style tree; 2: noise, 1: noise outside an article; whether it holds the main text; whether words alone make it noise."""
+    sure = 2 if tag in NOISE_TAGS else 1 if tag == "header" else 0
+    noise, main, name = sure, False, tag
     if raw and not raw.isspace():
         for key, value in _ATTR.findall(raw):
             key, value = key.lower(), value.strip("\"'")
@@ -93,13 +95,13 @@ def _attributes(tag: str, raw: str) -> tuple[str, int, bool]:
                     elif any(NOISE_OUTSIDE.fullmatch(w) for w in words):
                         noise = max(noise, 1)
                 elif tag == "article" and re.search(r"comment|repl(y|ies)\b", value, re.I):
-                    noise = 2
+                    noise = sure = 2
             elif key == "role":
                 main |= value == "main"
-                noise = 2 if value in NOISE_ROLES else noise
+                noise, sure = (2, 2) if value in NOISE_ROLES else (noise, sure)
             elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-                noise = 2
-    return name, noise, main
+                noise = sure = 2
+    return name, noise, main, noise > sure
 
 
 class Page:
@@ -184,8 +186,9 @@ class Page:
             flush()
             if tag in VOID:
                 continue
-            name, noise, main = _attributes(tag, m[3])
+            name, noise, main, word = _attributes(tag, m[3])
             node = Node(tag, name, noise, main)
+            node.word = word
             stack[-1].children.append(node)
             inline.clear()
             if not m[3].endswith("/"):
@@ -219,6 +222,30 @@ class Page:
         self.mark = xxhash.xxh64_intdigest(np.array(out, U64).tobytes())
         return out
 
+    def _clear(self) -> None:
+        """Words of ids and classes give way where they would remove the main text."""
+        held: list[tuple[Node, int, bool, bool]] = []  # noise by words: text outside links, holds a main element, an article
+
+        def walk(node: Node, outside: bool) -> tuple[int, bool, bool, bool]:
+            """The same of any node, and whether it holds an article or main element that no words remove."""
+            outside = outside and not (node.word and node.noise == 2)
+            main, article = node.tag == "main" or node.main, node.tag == "article"
+            size, free = 0, (article or main) and outside
+            for c in node.children:
+                if c.__class__ is not Node:
+                    size += max(0, len(c[0]) - c[1])
+                elif c.noise < 2 or c.word:
+                    a, b, d, e = walk(c, outside)
+                    size, main, article, free = size + a, main or b, article or d, free or e
+            if node.word:
+                held.append((node, size, main, article))
+            return size, main, article, free
+
+        size, _, _, free = walk(self.root, True)
+        for node, own, main, article in held:
+            if main or ((article or 2 * own > size) and not free):
+                node.noise, node.word = 0, False
+
     def text(self, seen) -> str:
         """seen(key): pages of the host that have a node, style or feature."""
         importance: dict[int, float] = {}
@@ -242,6 +269,7 @@ class Page:
             return own
 
         _deep(weigh, self.root)
+        _deep(self._clear)
         found: list[Node] = []
 
         def seek(node: Node, wanted) -> None:

@@ -229,6 +229,14 @@ def test_style_tree_keeps_what_holds_important_blocks(spark):
     assert got[100] == got[101] == "Copy\nOne text.\nAnother text."
 
 
+def test_class_words_do_not_remove_the_main_text():
+    text = lambda body: Page(f"<body><div class='sidebar'>Aside</div>{body}<div class=footer>Foot</div></body>").text(lambda k: 1)
+    assert text("<div class='content no-sidebar'><article><p>Story</p></article></div>") == "Story"
+    assert text("<div id='has-comments'><main><p>Story</p></main><div class='comments'>Nice</div></div>") == "Story"
+    assert text("<div class='with-sidebar'><p>A story that is longer than the rest</p><div class='ads'>Buy</div></div>") == "A story that is longer than the rest"
+    assert text("<article>Story</article><div class='related'><article>Another story, which is not this</article></div>").split("\n")[0] == "Story"
+
+
 def test_entities_like_the_library():
     for t in ("&amp;lt;", "&notit;", "&#0;", "&#x80;", "&copy2", "&unknown;"):
         assert Page(f"<article>{t}</article>").text(lambda k: 1) == " ".join(html.unescape(t).split())
