@@ -88,15 +88,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def edit(batches):
         press = zstandard.ZstdCompressor()
-        marked: set[int] = set()
+        marked = None  # the last marker's document; its texts come next
         last = None
 
         def row(here, after):
-            doc_id, text = here
+            doc_id, text, twin = here
             half = len(text) // 2
             edited = text[: len(text) - half] + after[:half]
             own, new, nxt = canonical(text), canonical(edited), canonical(after)
-            return doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), digest(own), digest(new), float(own == new), float(own == nxt), press.compress(own) if doc_id in marked else None
+            return doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), digest(own), digest(new), float(own == new), float(own == nxt), press.compress(own) if twin else None
 
         def batch_of(rows):
             cols = list(zip(*rows, strict=True))
@@ -112,14 +112,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 s = b.slice(lo, 512)
                 for ghost, doc_id, marker, text in zip(s.column("ghost").to_pylist(), s.column("doc_id").to_pylist(), s.column("marker").to_pylist(), s.column("text").to_pylist(), strict=True):
                     if marker:
-                        if len(marked) > 100_000:  # ids come in order
-                            marked.clear()
-                        marked.add(doc_id)
+                        marked = doc_id
                         continue
                     if last is not None and not over:
                         rows.append(row(last, text))
                     over = ghost
-                    last = None if ghost else (doc_id, text)
+                    last = None if ghost else (doc_id, text, doc_id == marked)
                     if ghost:
                         break
                 if over:
