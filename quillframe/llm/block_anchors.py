@@ -21,10 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillframe.llm.common import U64, Words, cover, mix, prefix_sums, runs, span_hash
+from quillframe.llm.common import U64, Words, cover, runs
 from quillframe.llm.packed import Distinct, Texts, answer, ask, bits, cut, meet, pack, parse, partitions, unbits
 
-WINDOW = 20
+WINDOW, SEED = 20, 0xD6E8FEB86659FD93
 _HIGH = np.dtype([("low", "<u4"), ("high", "u1")])
 
 
@@ -50,7 +50,7 @@ class _Passages:
         flags[1:][at] = d.spread(hot)
         held = np.cumsum(flags)
         start, high = words.windows(window)
-        low = span_hash(prefix_sums(mix(words.hash ^ U64(0xD6E8FEB86659FD93))), start, start + window)
+        low = words.windows(window, SEED)[1]
         want = held[start + window - k + 1] > held[start]
         self.start, self.high, self.low = start[want], high[want], (low[want] >> U64(32)).astype("<u4")
         doc = np.searchsorted(words.first, self.start, "right") - 1

@@ -13,6 +13,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from quillframe.shipping import ship
@@ -172,6 +173,45 @@ def window_hashes(sums: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def _chain(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of the pair (a, b), in this order."""
+    return mix(a * U64(_R) + b)
+
+
+_LONG = 512  # bytes of a word that are hashed eight at a time
+_LANE = np.array([0, *((1 << 8 * k) - 1 for k in range(1, 9))], U64)
+
+
+def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans: eight bytes after the other, each mixed in; no sum, so no pattern of bytes cancels out."""
+    size = end - start
+    out = mix(size.astype(U64) + U64(_R))
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    lanes = np.ndarray(len(buf) + 1, "<u8", padded.data, 0, (1,))
+    long = np.flatnonzero(size > _LONG)
+    live = np.flatnonzero((size > 0) & (size <= _LONG))
+    at, left = start[live], size[live]
+    while len(live):
+        out[live] = _chain(out[live], lanes[at] & _LANE[np.minimum(left, 8)])
+        more = np.flatnonzero(left > 8)
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for k in long.tolist():
+        out[k] = xxhash.xxh3_64_intdigest(buf[start[k] : end[k]])
+    return out
+
+
+def gram_hashes(values: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of every k consecutive values, by doubling: pairs, pairs of pairs ..."""
+    out, step, power = None, 1, values
+    while True:
+        if k & step:
+            out = power[: len(values) - step + 1] if out is None else _chain(power[: len(out) - step], out[step:])
+        if 2 * step > k:
+            return out
+        power = _chain(power[: len(power) - step], power[step:])
+        step *= 2
+
+
 def byte_table(*spans: tuple[int, int]) -> np.ndarray:
     out = np.ones(256, bool)
     for a, b in spans:
@@ -206,7 +246,7 @@ class Words:
         self.first = np.searchsorted(self.start, offs)  # of each document: its first word; one more at the end
         self.count = np.diff(self.first)
         if hashed:
-            self.hash = span_hash(prefix_sums(buf, BYTE_CODE), self.start, self.end)
+            self.hash = word_hashes(buf, self.start, self.end)
 
     def __len__(self) -> int:
         return len(self.start)
@@ -214,14 +254,22 @@ class Words:
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.count)), self.count)
 
-    def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Starts (word numbers) of all k-word windows within a document, and their hashes."""
+    def windows(self, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Starts (word numbers) of all k-word windows within a document, and their hashes (others for another seed)."""
         m = len(self)
         if m < k:
             return np.zeros(0, np.int64), np.zeros(0, U64)
         last = np.repeat(self.first[1:], self.count)
         at = np.flatnonzero(np.arange(m) + k <= last)
-        return at, window_hashes(prefix_sums(self.hash), k)[at]
+        return at, gram_hashes(mix(self.hash ^ U64(seed)) if seed else self.hash, k)[at]
+
+    def whole(self, docs: np.ndarray) -> np.ndarray:
+        """Hashes of all words of each of docs, which have few."""
+        out = mix(self.count[docs].astype(U64))
+        for j in range(int(self.count[docs].max(initial=0))):
+            live = np.flatnonzero(self.count[docs] > j)
+            out[live] = _chain(out[live], self.hash[self.first[docs[live]] + j])
+        return out
 
 
 def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

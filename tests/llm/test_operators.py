@@ -16,8 +16,9 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from quillframe.llm import induced_sort, pairwise_quality, suffix_tree_lm
+from quillframe.llm import induced_sort, pairwise_quality, prefix_join, suffix_tree_lm
 from quillframe.llm.block_anchors import passage_digests, without_repeats
+from quillframe.llm.common import Words
 from quillframe.llm.exact_digest import canonical, digest, fingerprints
 from quillframe.llm.induced_sort import repeat_starts
 from quillframe.llm.prefix_join import near_duplicates
@@ -465,6 +466,37 @@ def test_prefix_join_edges(spark):
     assert got == [("4", 1, "None"), ("7", 0, "7"), ("7", 0, "7"), ("8", 0, "8"), ("9", 1, "9"), ("9", 1, "9"), ("None", 1, "None")]
 
 
+def test_prefix_join_one_id_with_two_texts(spark):
+    a = [f"w{k}" for k in range(200)]
+    b = [f"x{k}" if k in (40, 41, 42, 43, 44) else w for k, w in enumerate(a)]
+    c = [f"y{k}" if k in (150, 151, 152, 153) else w for k, w in enumerate(b)]
+    a, b, c = ((1, " ".join(a)), (1, " ".join(b)), (2, " ".join(c)))
+    for rows in ([a, b, c], [b, a, c], [c, b, a]):
+        assert {r.doc_id: r.component_id for r in near_duplicates(frame(spark, rows, 1)).collect()} == {1: 1, 2: 1}
+
+
+def test_prefix_join_templates_in_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(prefix_join, "SIDE", 5)
+    monkeypatch.setattr(prefix_join, "MEMBERS", 2)
+    monkeypatch.setattr(prefix_join, "WIDE", 64)
+    dice = random.Random(9)
+    parts = [" ".join(f"w{dice.randrange(300)}" for _ in range(50)) for _ in range(8)]
+    rows = [(k, " ".join(dice.sample(parts, 5))) for k in range(90)]
+    # equal prefixes and sizes, other common shingles: one group of several members
+    rows += [(200 + k, " ".join(parts[:5]) + " " + " ".join(f"tail{j}" for j in range(k % 3, 30 + k % 3))) for k in range(12)]
+    compare(near_duplicates(frame(spark, rows)), brute_components(rows))
+
+
+def test_words_that_sums_of_bytes_confuse(spark):
+    one = "".join("ab"[k.bit_count() % 2] for k in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    rows = [(i, " ".join([w, *(f"k{k}" for k in range(19))])) for i, w in ((1, one), (2, two))]
+    assert [r.n_removed for r in passage_digests(frame(spark, rows)).collect()] == [0, 0]
+    rows = [(1, f"{one} b c d e"), (2, f"{two} b c d e")]
+    assert {r.doc_id: r.component_id for r in near_duplicates(frame(spark, rows)).collect()} == {1: 1, 2: 2}
+    assert len(np.unique(Words(np.frombuffer(f"{one} {two}".encode(), np.uint8), np.array([0, 2049])).hash)) == 2
+
+
 # ----------------------------------------------------------------------- 10
 def test_exact_digest(docs):
     order = sorted(DOCS)
