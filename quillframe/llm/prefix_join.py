@@ -37,7 +37,7 @@ from quillframe.llm.packed import Distinct, Texts, answer, ask, cut, meet, pack,
 
 SHINGLE, PERCENT = 5, 80
 BITS = 2048  # of a bitmap of a set: a bit for each value of the top bits of its hashes
-SIDE, MEMBERS = 128, 16  # groups of a block, members of a group compared at once
+SIDE, MEMBERS, STAR = 512, 16, 128  # groups of a block, members of a group, partners of a leader compared at once
 WIDE = 4096  # columns of a matrix
 NO_ID = -(1 << 63)
 _KEY = np.dtype([("low", "<u4"), ("high", "u1")])
@@ -249,8 +249,8 @@ def verified(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             size = np.array([len(x) for x in items])
             y = np.flatnonzero(right)
             found = set()
-            for lo in range(0, unit.num_rows, SIDE):
-                x = lo + np.flatnonzero(~right[lo : lo + SIDE])
+            for lo in range(0, unit.num_rows, STAR):
+                x = lo + np.flatnonzero(~right[lo : lo + STAR])
                 if not len(x) or not len(y):
                     continue
                 same = common([items[k] for k in x.tolist()], [items[k] for k in y.tolist()]).astype(np.int64)
@@ -265,20 +265,22 @@ def verified(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def stars(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs(a, b) those that link; a b with many partners meets them SIDE at a time."""
-    parts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SIDE).alias("parts"))
+    """Of pairs(a, b) those that link; a b with many partners meets them STAR at a time."""
+    parts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / STAR).alias("parts"))
     placed = pairs.join(parts, "b").select(F.col("b").alias("u1"), F.expr("pmod(xxhash64(a), parts)").alias("u2"), F.lit(0).alias("u3"), "a")
     hubs = placed.select("u1", "u2", "u3", F.lit(True).alias("right"), F.col("u1").alias("rid")).distinct()
     rows = placed.select("u1", "u2", "u3", F.lit(False).alias("right"), F.col("a").alias("rid")).unionByName(hubs)
     return verified(rows.withColumn("label", F.col("rid")), sets, percent)
 
 
-def group_pairs(index: DataFrame, percent: int) -> DataFrame:
-    """(u1, u2, u3, a, b, a_parts, b_parts): the pairs of groups of index(token, gid, n, place, k, m, low, high, prefix, bits) that may hold a link.
+def group_pairs(index: DataFrame, group: DataFrame, percent: int) -> DataFrame:
+    """(u1, u2, u3, a, b, a_parts, b_parts): the pairs of groups that may hold a link.
 
-    Groups meet under each shingle of their prefixes, cut into blocks of about SIDE groups of like
-    sizes, so a shingle of very many groups is worked off by many tasks: every two blocks are a
-    unit.  A pair passes at its first common shingle only, if
+    index(token, gid, n, key, place, k, m, low, high): a row for each shingle of a group's prefix;
+    group(gid, n, key, prefix, bits).  Groups meet under each shingle.  One of more than SIDE groups is
+    cut into bands of like sizes and those into blocks, and every two blocks of one or of
+    neighbouring bands are a unit, so it is worked off by many tasks.  A pair passes at its first common
+    shingle only, if
 
     * its members are not all of one component already,
     * sizes allow the similarity,
@@ -292,20 +294,24 @@ def group_pairs(index: DataFrame, percent: int) -> DataFrame:
     keys = ["token", "band", "pair"]
     band = F.floor(F.log("n") / (-np.log(percent / 100) * (1 + 1e-9))).cast("int")  # sets that link lie in one band or in neighbours
     placed = index.withColumn("band", band)
-    parts = placed.groupBy("token", "band").agg(F.ceil(F.count(F.lit(1)) / SIDE).cast("int").alias("parts"), F.count(F.lit(1)).alias("groups"), F.min("low").alias("low"), F.max("high").alias("high"))
-    bands = parts.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("band", "parts"))).alias("parts"), F.min("low").alias("least"), F.max("high").alias("most")).where("least <> most")
-    whole = placed.join(bands.select("token", "parts"), "token").withColumn("own", F.expr("cast(pmod(xxhash64(gid), parts[band]) as int)"))
+    parts = placed.groupBy("token", "band").agg(F.count(F.lit(1)).alias("groups"), F.min("low").alias("low"), F.max("high").alias("high"))
+    bands = parts.groupBy("token").agg(F.sum("groups").alias("groups"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("groups") / SIDE).cast("int")))).alias("parts"), F.min("low").alias("least"), F.max("high").alias("most"))
+    several = "m > 1 and low <> high and k = 0"
+    whole = placed.join(bands.where("least <> most").drop("least", "most"), "token").where(f"groups > 1 or {several}")
+    whole = whole.withColumn("own", F.expr("cast(pmod(xxhash64(gid, key), parts[band]) as int)"))
     # (band of the unit, its two blocks, side 0 / 1 / both); neighbouring bands: twice the lower band, plus one
     units = whole.withColumn(
         "unit",
         F.explode(
             F.expr(
-                "concat(transform(sequence(0, parts[band] - 1), x -> named_struct('band', 2 * band, 'pair', shiftleft(cast(least(x, own) as bigint), 32) + greatest(x, own), 'side', case when x = own then 2 when own < x then 0 else 1 end)),"
+                f"case when groups <= {SIDE} then array(named_struct('band', -1, 'pair', 0L, 'side', 2)) else"
+                " concat(transform(sequence(0, parts[band] - 1), x -> named_struct('band', 2 * band, 'pair', shiftleft(cast(least(x, own) as bigint), 32) + greatest(x, own), 'side', case when x = own then 2 when own < x then 0 else 1 end)),"
                 " case when parts[band + 1] is null then array() else transform(sequence(0, parts[band + 1] - 1), x -> named_struct('band', 2 * band + 1, 'pair', shiftleft(cast(own as bigint), 32) + x, 'side', 0)) end,"
-                " case when parts[band - 1] is null then array() else transform(sequence(0, parts[band - 1] - 1), x -> named_struct('band', 2 * band - 1, 'pair', shiftleft(cast(x as bigint), 32) + own, 'side', 1)) end)"
+                " case when parts[band - 1] is null then array() else transform(sequence(0, parts[band - 1] - 1), x -> named_struct('band', 2 * band - 1, 'pair', shiftleft(cast(x as bigint), 32) + own, 'side', 1)) end) end"
             )
         ),
-    ).select("token", "unit.band", "unit.pair", "unit.side", "gid", "n", "place", "k", "m", "low", "high", "prefix", "bits")
+    ).select("token", "unit.band", "unit.pair", "unit.side", "gid", "n", "key", "place", "k", "m", "low", "high")
+    units = units.join(group.select("gid", "n", "key", "prefix", "bits"), ["gid", "n", "key"])
 
     def pairs(unit):
         side = unit.column("side").to_numpy()
@@ -365,10 +371,10 @@ def link_components(sets: DataFrame, percent: int = PERCENT, rounds: int = 2) ->
     group = store(
         grouped.groupBy("n", "key", "prefix").agg(F.min_by("rid", F.struct("alone", "rid")).alias("gid"), F.min("alone").alias("alone"), F.count(F.lit(1)).alias("m"), F.first("bits").alias("bits")).withColumn("bits", F.expr("if(m = 1, bits, null)")),
         "groups",
-    )
+    )  # groups of one doc_id with several texts share a gid, so a group is known by (gid, n, key)
     members = store(grouped.select("rid", "n", "key").join(group.where("m > 1").select("n", "key", "gid"), ["n", "key"], "left").select("rid", F.coalesce("gid", "rid").alias("gid")), "members", False)
     # a shingle's place in its set: those of the class alone come first, then the prefix as stored
-    tokens = store(group.select("gid", "n", F.posexplode("prefix").alias("k", "token"), "alone").select("gid", "n", "token", "k", (F.col("alone") + F.col("k")).alias("place")), "tokens", False)
+    tokens = store(group.select("gid", "n", "key", "m", F.posexplode("prefix").alias("k", "token"), "alone").select("gid", "n", "key", "m", "token", "k", (F.col("alone") + F.col("k")).alias("place")), "tokens", False)
     # the rarest common shingle of two sets that link lies so far in front that what follows in either set can still be the overlap wanted
     near = lambda a, b: f"{100 + percent} * least({a}n - {a}place, {b}n - {b}place) >= {percent} * ({a}n + {b}n)"
     links = store(stars(members.where("rid <> gid").select(F.col("rid").alias("a"), F.col("gid").alias("b")), sets, percent), "links", False)
@@ -391,9 +397,7 @@ def link_components(sets: DataFrame, percent: int = PERCENT, rounds: int = 2) ->
         found = components(links)
     where = store(members.join(found, members.rid == found.node, "left").select("rid", "gid", F.coalesce("component", "rid").alias("component")), "where", False)
     spread = where.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    index = tokens.join(group.select("gid", "n", "m", "prefix", "bits").join(spread, "gid"), ["gid", "n"])
-    # groups of one doc_id with several texts share a gid: each shingle is met under its own prefix
-    met = store(group_pairs(index.where("get(prefix, cast(k as int)) = token"), percent), "group-pairs")
+    met = store(group_pairs(tokens.join(spread, "gid"), group, percent), "group-pairs")
     side = lambda s, o, right: met.select("u1", "u2", "u3", F.col(s).alias("gid"), F.col(f"{s}_parts").alias("parts"), F.col(f"{o}_parts").alias("others"), F.lit(right).alias("right"))
     ends = side("a", "b", False).unionByName(side("b", "a", True)).groupBy("u1", "u2", "u3", "gid", "right").agg(F.max("parts").alias("parts"), F.max("others").alias("others"))
     widest = F.max("others").over(Window.partitionBy("u1", "u2", "u3", "right"))

@@ -478,6 +478,7 @@ def test_prefix_join_one_id_with_two_texts(spark):
 def test_prefix_join_templates_in_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(prefix_join, "SIDE", 5)
     monkeypatch.setattr(prefix_join, "MEMBERS", 2)
+    monkeypatch.setattr(prefix_join, "STAR", 3)
     monkeypatch.setattr(prefix_join, "WIDE", 64)
     dice = random.Random(9)
     parts = [" ".join(f"w{dice.randrange(300)}" for _ in range(50)) for _ in range(8)]
