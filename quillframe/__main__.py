@@ -27,7 +27,7 @@ def shown(df: DataFrame, how: str) -> str:
         return "[" + ",\n".join(jsonl(df)) + "]"
     if how == "markdown":
         return markdown(df)
-    rows = [[cell(v) for v in r] for r in df.limit(1000).collect()]
+    rows = [[cell(v) for v in r] for r in df.toLocalIterator()]
     width = [max(map(len, col)) for col in zip(df.columns, *rows, strict=True)]
     return "\n".join("  ".join(v.ljust(w) for v, w in zip(r, width, strict=True)).rstrip() for r in [df.columns, ["-" * w for w in width], *rows])
 

@@ -154,29 +154,35 @@ def _regexp_substr(x: Value, p: Value, flags: Value | None = None) -> Value:
     return string(F.regexp_substr(whole_text(x), F.lit(pattern(p, flags))))
 
 
+MARK = "\ufdd0"  # a noncharacter: in no text
+
+
 @function("REGEXP_REPLACE")
 def _regexp_replace(x: Value, p: Value, r: Value, flags: Value | None = None, occurrence: Value | None = None) -> Value:
-    """Of the n-th match only: the text between matches and the matches, put together again."""
+    """Of the n-th match only: replacements are marked in the whole text, where look-around sees what it should, and all but the n-th undone."""
     find, put = pattern(p, flags), template(str(constant(r, "a replacement")))
     nth = int(constant(occurrence, "an occurrence")) if occurrence else 0
     t = whole_text(x)
     if nth <= 0:
         return string(F.regexp_replace(t, F.lit(find), F.lit(put)))
-    between, found = F.split(t, find, -1), F.regexp_extract_all(t, F.lit(find), F.lit(0))
-    again = F.transform(found, lambda m, i: F.when(i == nth - 1, F.regexp_replace(m, F.lit(find), F.lit(put))).otherwise(m))
-    pieces = F.transform(between, lambda b, i: F.concat(b, F.coalesce(F.get(again, i), F.lit(""))))
-    return string(F.array_join(pieces, ""))
+    marked = lambda x: F.split(F.regexp_replace(t, F.lit(find), F.lit(MARK + x + MARK)), MARK, -1)
+    own, new = marked("$0"), marked(put)  # text, match, text, match ... text
+    return string(F.array_join(F.transform(own, lambda x, i: F.when(i == 2 * nth - 1, F.get(new, i)).otherwise(x)), ""))
 
 
 # ------------------------------------------------------------------ numbers
+WHOLE = float(1 << 53)
+
+
 def _scaled(f):
     def run(x: Value, digits: Value | None = None) -> Value:
         d = int(constant(digits, "digits")) if digits else 0
         n = number(x).cast("double")
-        if not d:
-            return Value(f(n).cast("double"), DOUBLE)
         p = float(10 ** abs(d))
-        return Value(f(n * p) / p if d > 0 else f(n / p) * p, DOUBLE)
+        scaled = n * p if d >= 0 else n / p
+        done = f(scaled).cast("double")
+        # doubles of 2^53 and more are whole
+        return Value(F.when(F.abs(scaled) >= WHOLE, n).otherwise(done / p if d >= 0 else done * p), DOUBLE)
 
     return run
 
@@ -233,7 +239,8 @@ def _format(x: Value, how: Value) -> Value:
         raise ArgumentError(f"unknown pattern {p!r}")
     least, most = decimals.count("0"), len(decimals)
     n = number(x).cast("double") * (100.0 if percent else 1.0)
-    rounded = F.signum(n) * F.floor(F.abs(n) * float(10**most) + 0.5) / float(10**most)
+    scaled = F.abs(n) * float(10**most)
+    rounded = F.when(scaled >= WHOLE, n).otherwise(F.signum(n) * F.floor(scaled + 0.5) / float(10**most))
     out = F.format_number(rounded, most)
     if most > least:
         keep = rf"(\.\d{{{least}}}\d*?)0+$" if least else r"(\.\d*?)0+$"

@@ -8,7 +8,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, SparkSession, functions as F, types as T
 
 
 @dataclass(frozen=True)
@@ -63,9 +63,18 @@ def filled(c: Column) -> Column:
 
 
 def num_to_text(c: Column, t: T.DataType) -> Column:
+    """Plain digits from 1e-6 up to 1e21, beyond that 1.5e+21 and 1e-7."""
     if isinstance(t, T.DoubleType | T.FloatType):
-        whole = (F.floor(c) == c) & (F.abs(c) < 1e15)
-        return F.when(whole, c.cast("bigint").cast("string")).otherwise(c.cast("string"))
+        size = F.abs(c)
+        plain = F.when(size < 1e-3, c.cast("decimal(38,25)")).otherwise(c.cast("decimal(38,14)")).cast("string")
+        short = F.regexp_replace(F.regexp_replace(F.regexp_replace(c.cast("string"), r"\.0E", "E"), r"E(?=\d)", "e+"), "E-", "e-")
+        return (
+            F.when((size < 1e15) & (F.floor(c) == c), c.cast("bigint").cast("string"))
+            .when((size >= 1e-3) & (size < 1e7), c.cast("string"))
+            .when((size >= 1e15) & (size < 1e21), c.cast("decimal(38,0)").cast("string"))
+            .when((size >= 1e-6) & (size < 1e15), F.regexp_replace(plain, r"\.?0+$", ""))
+            .otherwise(short)
+        )
     if isinstance(t, T.DecimalType):
         return F.regexp_replace(c.cast("string"), r"(\.\d*?)0+$|\.$", "$1").cast("string")
     return c.cast("string")
@@ -78,12 +87,18 @@ def text(v: Value) -> Column:
     if v.kind == "num":
         return num_to_text(v.col, v.type)
     if v.kind == "ts":
-        return F.date_format(v.col, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+        return F.date_format(utc(v), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     if v.kind == "array":
         return filled(F.array_join(v.col.cast("array<string>"), ","))
     return v.col.cast("string")
 
 
+def utc(v: Value) -> Column:
+    """A timestamp whose fields, in the session's zone, are those in UTC."""
+    zone = SparkSession.active().conf.get("spark.sql.session.timeZone")
+    return v.col if isinstance(v.type, T.TimestampNTZType) or zone in ("UTC", "Etc/UTC", "GMT", "Z") else F.to_utc_timestamp(v.col, zone)
+
+
 def whole_text(v: Value) -> Column:
     """As text, '' where empty."""
     return F.coalesce(text(v), F.lit(""))
@@ -114,7 +129,7 @@ def date(v: Value) -> Column:
     if v.kind == "date":
         return v.col
     if v.kind == "ts":
-        return v.col.cast("date")
+        return utc(v).cast("date")
     return F.substring(text(v), 1, 10).try_cast("date")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 ERROR = "array<struct<field:string,code:string,message:string,value:string,subtable:string,subrow:int,subrow_id:string>>"
 
@@ -38,8 +38,8 @@ def field_problems(name: str, c: Column, t: T.DataType, meta: dict, **place) ->
     return out
 
 
-def with_errors(df: DataFrame, fields: list[str], metas: dict[str, dict], extra: list[Column] = (), key: str | None = None) -> DataFrame:
-    """df and a column ``__errors``."""
+def with_errors(df: DataFrame, fields: list[str], metas: dict[str, dict], extra: list[Column] = (), key: str | None = None, rest: DataFrame | None = None) -> DataFrame:
+    """df and a column ``__errors``; rest: the rows of the table that stay beside df, for ``unique``."""
     parts = list(extra)
     types = {f.name: f.dataType for f in df.schema}
     for f in fields:
@@ -47,8 +47,13 @@ def with_errors(df: DataFrame, fields: list[str], metas: dict[str, dict], extra:
         c = F.col(f"`{f}`")
         parts += field_problems(f, c, t, meta)
         if meta.get("unique"):
-            df = df.withColumn(f"__n_{f}", F.count(F.lit(1)).over(Window.partitionBy(c)))
-            parts.append(problem(c.isNotNull() & (F.col(f"`__n_{f}`") > 1), f, "DUPLICATE_VALUE", f"{f} occurs more than once", c))
+            # empty cells may repeat, so they are left out; only values that occur several times travel to the join
+            values = df.select(c.alias("__v")).where("__v is not null")
+            if rest is not None:
+                values = values.unionByName(rest.select(c.alias("__v")).where("__v is not null"))
+            several = values.groupBy("__v").count().where("count > 1").select(F.col("__v").alias(f"__n_{f}"))
+            df = df.join(several, c == F.col(f"`__n_{f}`"), "left")
+            parts.append(problem(F.col(f"`__n_{f}`").isNotNull(), f, "DUPLICATE_VALUE", f"{f} occurs more than once", c))
         if isinstance(t, T.ArrayType) and isinstance(t.elementType, T.StructType) and meta.get("children"):
             has_id = any(x.name == "id" for x in t.elementType)
 

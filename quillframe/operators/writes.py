@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from quillframe.errors import AnalysisError, ArgumentError, LimitError
@@ -85,9 +88,9 @@ class Writer:
             out.append(validation.problem(message.isNotNull(), "", "CHECK", message, F.lit(None)))
         return out
 
-    def screened(self, df: DataFrame, table, fields: list[str], checks: n.Checks) -> tuple[DataFrame, DataFrame | None, dict]:
-        """Rows to write, rows with errors (for INTO), and what to report."""
-        marked = validation.with_errors(df, fields, table.metas, self.checks(checks, self.scope(df, table.name)))
+    def screened(self, df: DataFrame, table, fields: list[str], checks: n.Checks, rest: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None, dict]:
+        """Rows to write, rows with errors (for INTO), and what to report; rest: rows that stay in the table beside them."""
+        marked = validation.with_errors(df, fields, table.metas, self.checks(checks, self.scope(df, table.name)), rest=rest)
         bad = marked.where(F.size("__errors") > 0)
         key = "$id" if "$id" in df.columns else None
         if checks.validate_only:
@@ -122,7 +125,7 @@ class Writer:
             return self.nested_insert(s)
         t, old = self.target(s.table)
         new = self.completed(self.rows(s.table, s.columns, s.rows, s.query, old.schema), old.schema, t.metas, old)
-        new, errors, report = self.screened(new, t, [c for c in old.columns if c in t.metas], s.checks)
+        new, errors, report = self.screened(new, t, [c for c in old.columns if c in t.metas], s.checks, old)
         if s.checks.validate_only:
             return report, errors
         count = new.count()
@@ -138,7 +141,9 @@ class Writer:
         new = self.rows(s.table, s.columns, s.rows, s.query, old.schema)
         if not new.groupBy(*[F.col(f"`{k}`") for k in s.keys]).count().where("count > 1").isEmpty():
             raise ArgumentError("a key occurs more than once in the source")
-        checked, errors, report = self.screened(new, t, [c for c in s.columns if c in t.metas], s.checks)
+        replaced = new.select(*[F.col(f"`{k}`").alias(f"__k_{k}") for k in s.keys])
+        stay = old.join(replaced, reduce(and_, [F.col(f"`{k}`").eqNullSafe(F.col(f"`__k_{k}`")) for k in s.keys]), "left_anti")
+        checked, errors, report = self.screened(new, t, [c for c in s.columns if c in t.metas], s.checks, stay)
         if s.checks.validate_only:
             return report, errors
         side = checked.toDF(*[f"__s_{c}" for c in checked.columns]).withColumn("__hit", F.lit(True))
@@ -185,13 +190,14 @@ class Writer:
         new = df.select(*out, "__hit")
         touched = new.where("__hit").drop("__hit")
         changed = list(dict(s.assignments))
-        good, errors, report = self.screened(touched, t, [c for c in changed if c in t.metas], s.checks)
+        stay = new.where("not __hit").drop("__hit")
+        good, errors, report = self.screened(touched, t, [c for c in changed if c in t.metas], s.checks, stay)
         if s.checks.validate_only:
             return report, errors
         count = touched.count() - report.get("skipped", 0)
         self.guard(count)
         if s.checks.skip and report.get("skipped"):
-            marked = validation.with_errors(new.where("__hit"), [c for c in changed if c in t.metas], t.metas, self.checks(s.checks, self.scope(old, s.table)))
+            marked = validation.with_errors(new.where("__hit"), [c for c in changed if c in t.metas], t.metas, self.checks(s.checks, self.scope(old, s.table)), rest=stay)
             keys = [c for c in ("$id",) if c in old.columns]
             if not keys:
                 raise AnalysisError("ON ERROR SKIP on UPDATE needs $id")

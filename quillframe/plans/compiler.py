@@ -42,11 +42,22 @@ class Field:
     type: T.DataType
     meta: dict = field(default_factory=dict, hash=False, compare=False)
     hidden: bool = False  # the parent's columns of nested rows
+    required: bool = False  # not nullable
 
     def value(self) -> Value:
         return Value(F.col(self.internal), self.type, meta=self.meta)
 
 
+def never_empty(f: Field) -> bool:
+    """By the schema, or by the catalog: a ``required`` column holds no empty cells."""
+    return f.required or bool(f.meta.get("required"))
+
+
+def same(x: Column, y: Column, known: bool) -> Column:
+    """Equality of join keys: empty cells are equal, which a plain = says as well where one side has none; that keeps partitioning, buckets and runtime filters."""
+    return x == y if known else x.eqNullSafe(y)
+
+
 @dataclass
 class Relation:
     """A DataFrame whose columns have internal names, and what they are called."""
@@ -160,7 +171,7 @@ class Compiler:
             c = F.col(f"`{f.name}`")
             meta = dict(f.metadata) | metas.get(f.name, {})
             shown = f.name.removeprefix("_p.") if f.name in hidden else f.name
-            fields.append(Field(alias, shown, internal, f.dataType, meta, f.name in hidden))
+            fields.append(Field(alias, shown, internal, f.dataType, meta, f.name in hidden, not f.nullable))
             cols.append(c.alias(internal, metadata=meta) if meta else c.alias(internal))
         return Relation(df.select(*cols), fields)
 
@@ -192,7 +203,7 @@ class Compiler:
                 ends = [left, right_]
             a, b = (e.value() for e in ends)
             x, y = (a.col, b.col) if a.type == b.type else predicates.aligned(a, b)
-            out = Relation(out.df.join(right.df, x.eqNullSafe(y), j.kind), out.fields + right.fields)
+            out = Relation(out.df.join(right.df, same(x, y, any(never_empty(e) for e in ends)), j.kind), out.fields + right.fields)
         return out
 
     # -------------------------------------------------------------- select
@@ -426,9 +437,10 @@ class Compiler:
                 inner, flip = inner.value, not flip
             if filters and isinstance(inner, n.In) and isinstance(inner.items, n.Node) and not isinstance(inner.items, n.Var):
                 v = self.expression(inner.value, scope)
-                keys = self._keys(inner.items)
+                keys = self._keys(inner.items, False)
                 a, b = self._matched(v, keys)
-                df = df.join(keys, a.eqNullSafe(b), "left_anti" if inner.negated != flip else "left_semi")
+                known = not keys.schema[0].nullable or bool(keys.schema[0].metadata.get("required")) or bool(v.meta.get("required"))
+                df = df.join(keys, same(a, b, known), "left_anti" if inner.negated != flip else "left_semi")
                 continue
             left.append(part)
             for x in n.walk(part):
@@ -443,9 +455,11 @@ class Compiler:
         rest = None if not left else left[0] if len(left) == 1 else n.Logic("AND", tuple(left))
         return df, rest, done
 
-    def _keys(self, q: n.Node) -> DataFrame:
+    def _keys(self, q: n.Node, once: bool = True) -> DataFrame:
+        """The values of a subquery; semi and anti joins don't need them once."""
         df = self.query(q)
-        return df.select(F.col(f"`{df.columns[0]}`").alias(fresh("q"))).distinct()
+        keys = df.select(F.col(f"`{df.columns[0]}`").alias(fresh("q"), metadata=df.schema[0].metadata or None))
+        return keys.distinct() if once else keys
 
     @staticmethod
     def _matched(v: Value, keys: DataFrame) -> tuple[Column, Column]:

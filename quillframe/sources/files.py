@@ -131,8 +131,8 @@ def write_csv_files(df: DataFrame, path: str) -> None:
     df.select(*[F.array_join(F.col(f"`{c}`").cast("array<string>"), "\n").alias(c) if c in arrays else F.col(f"`{c}`") for c in df.columns]).write.option("header", True).option("escape", '"').csv(path)
 
 
-def markdown(df: DataFrame, limit: int = 1000) -> str:
-    rows = [[cell(v) for v in r] for r in df.limit(limit).collect()]
+def markdown(df: DataFrame) -> str:
+    rows = [[cell(v) for v in r] for r in df.toLocalIterator()]
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join(v.replace("|", "\\|").replace("\n", "<br>") for v in r) + " |" for r in rows])
 
