@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from quillframe.errors import ArgumentError
-from quillframe.functions.values import DATE, DOUBLE, INT, LONG, STRING, Value, date, filled, maybe_number, number, number_type, stamp, text, whole_text
+from quillframe.functions.values import DATE, DOUBLE, INT, LONG, STAMP, STRING, Value, date, filled, maybe_number, number, number_type, stamp, text, utc, whole_text
 
 #: White space that TRIM removes, and the short names of the days from Sunday on: fixed values.
 SPACE = r"[\s\x0B\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
@@ -270,7 +270,7 @@ def _date_add(d: Value, k: Value, unit: Value) -> Value:
 
 @function("DATE_FORMAT")
 def _date_format(x: Value, how: Value) -> Value:
-    t, d = stamp(x), date(x)
+    t, d = utc(Value(stamp(x), STAMP)) if x.kind == "ts" and not isinstance(x.type, T.TimestampNTZType) else stamp(x), date(x)
     parts = {
         **{k: F.date_format(t, v) for k, v in {"Y": "yyyy", "y": "yy", "m": "MM", "c": "M", "d": "dd", "e": "d", "H": "HH", "i": "mm", "s": "ss"}.items()},
         "w": (F.dayofweek(d) - 1).cast("string"), "a": F.substring(F.lit(DAYS), F.dayofweek(d), F.lit(1)), "v": F.lpad(F.weekofyear(d).cast("string"), 2, "0"), "G": F.extract(F.lit("YEAROFWEEK"), d).cast("string"), "%": F.lit("%"),

@@ -48,6 +48,8 @@ def literal(v: Any) -> Value:
         return Value(F.lit(None).cast("string"), STRING, "", True)
     if isinstance(v, bool):
         return Value(F.lit(v), T.BooleanType(), v, True)
+    if isinstance(v, int) and not -(1 << 63) <= v < 1 << 63:
+        v = float(v)
     if isinstance(v, int):
         big = not -(1 << 31) <= v < 1 << 31
         return Value(F.lit(v).cast("bigint" if big else "int"), LONG if big else INT, v, True)

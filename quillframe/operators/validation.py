@@ -22,19 +22,19 @@ def field_problems(name: str, c: Column, t: T.DataType, meta: dict, **place) ->
     empty = c.isNull() | (F.size(c) == 0) if several else c.isNull() | (c.cast("string") == "")
     shown = F.array_join(c.cast("array<string>"), ",") if several and not isinstance(t.elementType, T.StructType) else c
     if meta.get("required"):
-        out.append(problem(empty, name, "REQUIRED", f"{name} is required", F.lit(None), **place))
+        out.append(problem(empty, name, "ERR_REQUIRED", f"{name} is required", F.lit(None), **place))
     if meta.get("min") is not None:
-        out.append(problem(c.cast("double") < float(meta["min"]), name, "MIN_VALUE", f"{name} is below {meta['min']}", c, **place))
+        out.append(problem(c.cast("double") < float(meta["min"]), name, "ERR_RANGE_MIN", f"{name} is below {meta['min']}", c, **place))
     if meta.get("max") is not None:
-        out.append(problem(c.cast("double") > float(meta["max"]), name, "MAX_VALUE", f"{name} is above {meta['max']}", c, **place))
+        out.append(problem(c.cast("double") > float(meta["max"]), name, "ERR_RANGE_MAX", f"{name} is above {meta['max']}", c, **place))
     if meta.get("maxLength") is not None:
-        out.append(problem(F.length(c) > int(meta["maxLength"]), name, "MAX_LENGTH", f"{name} is longer than {meta['maxLength']}", c, **place))
+        out.append(problem(F.length(c) > int(meta["maxLength"]), name, "ERR_LENGTH_MAX", f"{name} is longer than {meta['maxLength']}", c, **place))
     if meta.get("minLength") is not None:
-        out.append(problem(~empty & (F.length(c) < int(meta["minLength"])), name, "MIN_LENGTH", f"{name} is shorter than {meta['minLength']}", c, **place))
+        out.append(problem(~empty & (F.length(c) < int(meta["minLength"])), name, "ERR_LENGTH_MIN", f"{name} is shorter than {meta['minLength']}", c, **place))
     if meta.get("optionOrder"):
         known = F.array(*map(F.lit, meta["optionOrder"]))
         bad = F.size(F.array_except(c, known)) > 0 if several else ~empty & ~F.array_contains(known, c)
-        out.append(problem(bad, name, "INVALID_OPTION", f"{name} has an unknown option", shown, **place))
+        out.append(problem(bad, name, "ERR_CHOICE_INVALID", f"{name} has an unknown option", shown, **place))
     return out
 
 
@@ -53,7 +53,7 @@ def with_errors(df: DataFrame, fields: list[str], metas: dict[str, dict], extra:
                 values = values.unionByName(rest.select(c.alias("__v")).where("__v is not null"))
             several = values.groupBy("__v").count().where("count > 1").select(F.col("__v").alias(f"__n_{f}"))
             df = df.join(several, c == F.col(f"`__n_{f}`"), "left")
-            parts.append(problem(F.col(f"`__n_{f}`").isNotNull(), f, "DUPLICATE_VALUE", f"{f} occurs more than once", c))
+            parts.append(problem(F.col(f"`__n_{f}`").isNotNull(), f, "ERR_DUPLICATE", f"{f} occurs more than once", c))
         if isinstance(t, T.ArrayType) and isinstance(t.elementType, T.StructType) and meta.get("children"):
             has_id = any(x.name == "id" for x in t.elementType)
 

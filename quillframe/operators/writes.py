@@ -16,6 +16,10 @@ from quillframe.plans.compiler import Compiler, Scope, canonical
 
 def converted(v: Value, t: T.DataType) -> Column:
     """A value as the column's type: dates with slashes, comma lists, local text of times."""
+    if isinstance(t, T.ArrayType) and v.kind == "str":
+        if isinstance(t.elementType, T.StructType):  # rows as JSON, cells as text
+            plain = T.ArrayType(T.StructType([T.StructField(f.name, T.StringType()) for f in t.elementType]))
+            return F.coalesce(F.from_json(text(v), plain), F.array()).cast(t)
     if isinstance(t, T.ArrayType) and not isinstance(t.elementType, T.StructType):
         return v.col.cast(t) if v.kind == "array" else F.when(text(v).isNotNull() & (text(v) != ""), F.split(text(v), r"\s*,\s*")).cast(t)
     if isinstance(t, T.DateType):
@@ -85,7 +89,7 @@ class Writer:
             for condition, then in group:
                 p, m = self.c.condition(condition, scope), text(self.c.expression(then, scope))
                 message = F.when(p, m) if message is None else message.when(p, m)
-            out.append(validation.problem(message.isNotNull(), "", "CHECK", message, F.lit(None)))
+            out.append(validation.problem(message.isNotNull(), "", "ERR_CHECK", message, F.lit(None)))
         return out
 
     def screened(self, df: DataFrame, table, fields: list[str], checks: n.Checks, rest: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None, dict]:

@@ -5,6 +5,7 @@ from datetime import UTC, datetime
 import pytest
 from pyspark.sql import functions as F
 
+from quillframe import queries
 from quillframe.errors import AnalysisError, ArgumentError, AssertionFailed, LimitError, SqlSyntaxError
 from quillframe.functions.clock import Clock
 from quillframe.functions.names import SCALARS
@@ -272,16 +273,16 @@ def test_validation(store):
     metas = {"code": {"required": True, "unique": True, "maxLength": 3}, "amount": {"min": 0, "max": 100}}
     s = store(*CLIENTS, metas)
     errors = s.run("INSERT INTO t (code, amount) VALUES ('C001', 1), ('', -1) VALIDATE ONLY INTO #err")[0].frame
-    assert sorted(r[0] for r in rows(errors.select("$err_code"))) == ["MAX_LENGTH", "MIN_VALUE", "REQUIRED"]
+    assert sorted(r[0] for r in rows(errors.select("$err_code"))) == ["ERR_LENGTH_MAX", "ERR_RANGE_MIN", "ERR_REQUIRED"]
     assert len(rows(s.sql("SELECT * FROM #err"))) == 3 and len(rows(s.sql("SELECT * FROM t"))) == 3
     with pytest.raises(ArgumentError):
         s.run("INSERT INTO t (code, amount) VALUES ('C5', 500)")
     r = s.run("INSERT INTO t (code, amount) VALUES ('C5', 5), ('C6', 6), ('C7', 700) CHECK WHEN amount = 6 THEN 'six: ' || amount ON ERROR SKIP INTO #bad REJECT LIMIT 5")[0].report
     assert r == {"skipped": 2, "inserted": 1}
-    assert sorted(rows(s.sql("SELECT code, `$err_code`, `$err_message` FROM #bad"))) == [("C6", "CHECK", "six: 6"), ("C7", "MAX_VALUE", "amount is above 100")]
+    assert sorted(rows(s.sql("SELECT code, `$err_code`, `$err_message` FROM #bad"))) == [("C6", "ERR_CHECK", "six: 6"), ("C7", "ERR_RANGE_MAX", "amount is above 100")]
     with pytest.raises(LimitError):
         s.run("INSERT INTO t (code, amount) VALUES ('', 1) ON ERROR SKIP INTO #bad2 REJECT LIMIT 0")
-    assert [(r["$id"], r["$err_code"]) for r in s.sql("VALIDATE t").collect()] == [("3", "REQUIRED")]
+    assert [(r["$id"], r["$err_code"]) for r in s.sql("VALIDATE t").collect()] == [("3", "ERR_REQUIRED")]
     assert [r["$err_count"] for r in s.sql("VALIDATE t SUMMARY").collect()] == [1]
 
 
@@ -334,3 +335,58 @@ def test_csv_and_json(store, tmp_path, spark):
     (tmp_path / "dup.json").write_text('[{"code": "J", "code": "x"}]', encoding="utf-8")
     with pytest.raises(Exception, match="twice"):
         s.run(f"IMPORT INTO t (code) FROM JSON '{tmp_path}/dup.json'")
+
+
+# ------------------------------------------------------------------- answers
+def test_numbers_beyond_long(make):
+    s = make(t=("d double", [(1e20,), (1e-7,), (1.5e16,), (-2.5e21,), (12345678.5,), (0.00012,), (-0.1,)]))
+    assert [r[0] for r in rows(s.sql("SELECT CAST(d AS TEXT) AS x FROM t"))] == ["100000000000000000000", "1e-7", "15000000000000000", "-2.5e+21", "12345678.5", "0.00012", "-0.1"]
+    got = rows(s.sql("SELECT ROUND(d, 2) AS r, FLOOR(d) AS f, TRUNCATE(d) AS t, FORMAT(d, '#,##0') AS x FROM t WHERE d = 100000000000000000000"))
+    assert got == [(1e20, 1e20, 1e20, "100,000,000,000,000,000,000")]
+
+
+def test_nth_match_sees_its_surroundings(make):
+    s = make(t=("x string", [("ab",)]))
+    assert rows(s.sql("SELECT REGEXP_REPLACE(x, '(?<=a)b', 'X', '', 1) AS a, REGEXP_REPLACE(x, '', '-', '', 2) AS b, REGEXP_REPLACE(x, '([ab])', '<$1>', '', 2) AS c FROM t")) == [("aX", "a-b", "a<b>")]
+
+
+def test_times_are_text_in_utc(spark, make):
+    s = make(t=("ts timestamp", []))
+    s.catalog.add("t", spark.sql("SELECT timestamp'2024-01-01 00:00:00Z' AS ts"))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+        assert rows(s.sql("SELECT CAST(ts AS TEXT) AS t, CAST(ts AS DATE) AS d, DATE_FORMAT(ts, '%Y-%m-%d %H') AS f FROM t")) == [("2024-01-01T00:00:00Z", datetime(2024, 1, 1).date(), "2024-01-01 00")]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_unique_looks_at_the_table(store):
+    s = store(*CLIENTS, {"code": {"unique": True}})
+    for bad in ("INSERT INTO t (code) VALUES ('C1')", "UPDATE t SET code = 'C2' WHERE code = 'C1'", "UPSERT INTO t (`$id`, code) VALUES (1, 'C2') ON DUPLICATE (`$id`)"):
+        with pytest.raises(ArgumentError, match="ERR_DUPLICATE"):
+            s.run(bad)
+    s.run("INSERT INTO t (code) VALUES ('C7'), (''); UPDATE t SET code = 'C1' WHERE code = 'C1'; UPSERT INTO t (`$id`, code) VALUES (2, 'C2') ON DUPLICATE (`$id`)")
+    assert len(rows(s.sql("SELECT code FROM t"))) == 5
+
+
+@pytest.mark.parametrize("name", ["join_left", "semi_in", "anti_not_in"])
+def test_keys_that_are_never_empty_shuffle_once(spark, name):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = queries.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_import_replaces_nested_rows(store, tmp_path):
+    s = store(*NESTED)
+    (tmp_path / "in.json").write_text('[{"name": "p", "items": [{"code": "n", "qty": 1.50}, {"code": "m"}]}, {"name": "r"}]', encoding="utf-8")
+    with pytest.raises(AnalysisError, match="REPLACE SUBTABLES"):
+        s.run(f"IMPORT INTO t (name, items) FROM JSON '{tmp_path}/in.json' ON DUPLICATE (name)")
+    with pytest.raises(AnalysisError, match="no nested column"):
+        s.run(f"IMPORT INTO t (name) FROM JSON '{tmp_path}/in.json' ON DUPLICATE (name) REPLACE SUBTABLES (tags)")
+    s.run(f"IMPORT INTO t (name, items) FROM JSON '{tmp_path}/in.json' ON DUPLICATE (name) REPLACE SUBTABLES (items)")
+    assert sorted(rows(s.sql("SELECT _pid, _rid, code, qty FROM t$items")), key=str) == [(1, None, "m", None), (1, None, "n", 1.5)]
