@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillframe.llm import pairwise_quality, suffix_tree_lm
+from quillframe.llm import oracles, pairwise_quality, suffix_tree_lm
 from quillframe.llm.block_anchors import passage_digests
 from quillframe.llm.common import load
 from quillframe.llm.exact_digest import fingerprints
@@ -63,4 +63,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
