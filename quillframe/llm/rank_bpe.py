@@ -7,7 +7,9 @@ row each, so the scans are array operations; words over ``SHORT`` bytes use a he
 over linked parts instead, which is not quadratic.  Each worker remembers the ids
 of the chunks it has seen.
 
-Null texts are empty: no ids, empty decoding.  Every text decodes to itself.
+Null texts are empty: no ids, empty decoding.  Every text decodes to itself.  Repeated rows get
+a row each, whatever their ids; an empty table gives none; a very long text is a row of one task.
+Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -18,8 +20,8 @@ import json
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, functions as F
+from tokenizers.pre_tokenizers import ByteLevel
 
 from quillframe.shipping import ship
 
@@ -27,10 +29,10 @@ SHORT = 96
 MEMO = 300_000  # chunks remembered by a worker, about 80 MB
 NONE = np.int32(2**31 - 1)
 
-#: White space as the tokenizer's regular expressions see it, and its split pattern: fixed values.
+#: White space as the tokenizer's regular expressions see it, and its split pattern on ASCII: fixed values.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-WORD = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+WORD = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^{SPACE}A-Za-z0-9]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
 
 def printable_bytes() -> dict[str, int]:
@@ -61,7 +63,8 @@ class RankBpe:
         self.keys, self.ranks = np.append(keys[order], np.iinfo(np.int64).max), np.append(order, 0).astype(np.int32)
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int32)
         self.chunk = re.compile(CHUNK)
-        self.word = regex.compile(WORD)
+        self.word = re.compile(WORD)
+        self.splitter = ByteLevel(add_prefix_space=False, use_regex=True)
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.memo: dict[str, bytes] = {}
 
@@ -147,9 +150,13 @@ class RankBpe:
                     out[k] = ids
         return out
 
+    def library_words(self, chunk: str) -> list[str]:
+        """What is a letter or a digit beyond ASCII depends on the version of Unicode: the library's own is asked."""
+        return [chunk[a:b] for _, (a, b) in self.splitter.pre_tokenize_str(chunk)]
+
     def learn(self, chunks: set[str]) -> None:
         """Remember the ids of chunks; each is split into words and the distinct words are merged together."""
-        spans = {c: [w.encode() for w in self.word.findall(c)] for c in chunks}
+        spans = {c: [w.encode() for w in (self.word.findall(c) if c.isascii() else self.library_words(c))] for c in chunks}
         words = list({w for ws in spans.values() for w in ws})
         ids = dict(zip(words, (x.astype("<u4").tobytes() for x in self.encode_words(words)), strict=True))
         for c, ws in spans.items():

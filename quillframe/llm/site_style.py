@@ -110,11 +110,14 @@ class Page:
     def __init__(self, source: str):
         self.root, self.mark = Node("html", "html", 0, False), 0
         stack = [self.root]
+        places: dict[str, list[int]] = {}  # of each tag: where it is open in the stack
         text: list[str] = []
-        linked = 0
-        inline: list[str] = []
+        linked = anchors = 0  # characters inside links of this block; links open
         at, n = 0, len(source)
 
+        def top(tags) -> int:
+            return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
         def flush() -> None:
             nonlocal linked
             if text:
@@ -129,13 +132,16 @@ class Page:
             if raw:
                 raw = html_lib.unescape(raw) if "&" in raw else raw
                 text.append(raw)
-                if "a" in inline:
+                if anchors:
                     linked += len(raw.strip())
 
         def close(upto: int) -> None:
+            nonlocal anchors
             flush()
+            for node in stack[upto:]:
+                places[node.tag].pop()
             del stack[upto:]
-            inline.clear()
+            anchors = 0
 
         while at < n:
             m = _TAG.search(source, at)
@@ -150,16 +156,13 @@ class Page:
             tag = tag.lower()
             if m[1]:
                 if tag in INLINE:
-                    if tag in inline:
-                        inline.remove(tag)
+                    if tag == "a" and anchors:
+                        anchors -= 1
                     continue
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        close(k)
-                        break
-                else:
-                    if tag in ("p", "br"):
-                        flush()
+                if k := top((tag,)):
+                    close(k)
+                elif tag == "p":
+                    flush()
                 continue
             if tag in RAW and not m[3].endswith("/"):
                 end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(source, at)
@@ -169,20 +172,15 @@ class Page:
             if tag in INLINE:
                 if tag in ("br", "wbr", "img"):
                     text.append(" " if tag == "br" else "")
-                else:
-                    inline.append(tag)
+                elif tag == "a":
+                    anchors += 1
                 continue
             if tag in ("html", "body", "head"):
                 flush()
                 continue
             for starts, closed, fence in ENDS:
-                if tag in starts:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k].tag in closed:
-                            close(k)
-                            break
-                        if stack[k].tag in fence:
-                            break
+                if tag in starts and (k := top(closed)) > top(fence):
+                    close(k)
             flush()
             if tag in VOID:
                 continue
@@ -190,8 +188,9 @@ class Page:
             node = Node(tag, name, noise, main)
             node.word = word
             stack[-1].children.append(node)
-            inline.clear()
+            anchors = 0
             if not m[3].endswith("/"):
+                places.setdefault(tag, []).append(len(stack))
                 stack.append(node)
         flush()
 

@@ -3,8 +3,9 @@
 Words are runs of ASCII letters (lower-cased), digits and anything beyond ASCII.  On
 both sides the smallest hash of every ``window - k + 1`` consecutive k-word grams is
 kept, so any span of ``window`` equal words has a fingerprint in common.  Fingerprints
-of the test set meet those of the documents; a hit is extended both ways along its
-diagonal, and equal runs of at least ``window`` words are compared word by word.  An
+of the test set meet those of the documents; a hit is extended to all windows of ``window`` words
+that hold it, and those that the test set has (by hash, then word by word) are hit, in runs as long
+as they go on.  That takes time in proportion to the text, however often a word is repeated.  An
 item of n < window words is a single window: its fingerprint is its own n-word gram
 (winnowing with one gram a window).
 
@@ -12,7 +13,9 @@ The test set travels to the executors in blocks of at most ``BLOCK_BYTES`` of te
 whatever its size; documents are scanned once for each block and never shuffled.
 
 Null or empty texts have no words and no hits; an item without words occurs nowhere;
-repeated documents get a row each; an item with a null id counts under ''.
+repeated documents get a row each; an item with a null id counts under ''.  Repeated items count
+each.  A very long text is a block of its own.  Empty tables give no rows, or no hits.  Columns
+that are not kept by name are ignored; those of ``keep`` may have any name but the operator's own.
 """
 
 from __future__ import annotations
@@ -55,13 +58,14 @@ class TestSet:
         words = lowered(buf, offs)
         self.ids = [i for i, _ in items]
         self.window, self.k = window, k
-        self.hash, self.first, self.count = words.hash, words.first, words.count
+        self.hash, self.count = words.hash, words.count
         low = words.buf
         self.text = [low[a:b].tobytes() for a, b in zip(words.start, words.end, strict=True)]
-        at, h = winnow(words, window, k)
-        order = np.argsort(h, kind="stable")
-        self.prints, self.at = h[order], at[order]
+        self.prints = np.unique(winnow(words, window, k)[1])
         self.item = np.repeat(np.arange(len(items)), words.count)
+        at, h = words.windows(window)
+        order = np.argsort(h, kind="stable")
+        self.spans, self.at = h[order], at[order]
         #: short items: length -> (sorted hashes, item of each)
         self.short = {}
         for n in np.unique(self.count[(self.count > 0) & (self.count < window)]):
@@ -81,22 +85,33 @@ class TestSet:
 
         if len(self.prints):
             at, h = winnow(words, self.window, self.k)
-            lo = np.searchsorted(self.prints, h, "left")
-            hi = np.searchsorted(self.prints, h, "right")
-            met = np.flatnonzero(hi > lo)
-            diagonals: dict[tuple[int, int, int], None] = {}
-            docs = np.searchsorted(words.first, at[met], "right") - 1
-            for d, j in zip(docs.tolist(), met.tolist(), strict=True):
-                for q in self.at[lo[j] : hi[j]].tolist():
-                    diagonals[d, int(self.item[q]), int(at[j]) - q] = None
-            for d, i, shift in diagonals:
-                a = max(int(self.first[i]), int(words.first[d]) - shift)
-                b = min(int(self.first[i + 1]), int(words.first[d + 1]) - shift)
-                equal = self.hash[a:b] == words.hash[a + shift : b + shift]
-                for s, e in zip(*runs(equal), strict=True):
-                    if e - s >= self.window and same(a + s + shift, a + s, e - s):
-                        flags[a + s + shift : a + e + shift] = True
-                        found[d].add(self.ids[i])
+            met = np.zeros(len(words) + 1, np.int64)
+            met[1:][at[np.isin(h, self.prints)]] = 1
+            before = np.cumsum(met)
+            start, span = words.windows(self.window)
+            near = np.flatnonzero(before[start + self.window - self.k + 1] > before[start])  # a hit is extended to the windows that hold it
+            lo = np.searchsorted(self.spans, span[near], "left")
+            near, lo = near[lo < len(self.spans)], lo[lo < len(self.spans)]
+            near, lo = near[self.spans[lo] == span[near]], lo[self.spans[lo] == span[near]]
+            step = np.arange(self.window)
+            true: dict[int, set[str]] = {}
+            keep = np.zeros(len(near), bool)
+            doc = np.searchsorted(words.first, start[near], "right") - 1
+            for a in range(0, len(near), 1 << 16):
+                own = slice(a, a + (1 << 16))
+                keep[own] = (words.hash[start[near[own]][:, None] + step] == self.hash[self.at[lo[own]][:, None] + step]).all(1)
+            met_once = np.unique(np.stack([lo[keep], doc[keep]]), axis=1, return_index=True)[1] if keep.any() else []
+            wrong: set[int] = set()
+            for x in np.flatnonzero(keep)[met_once].tolist() if len(met_once) else []:
+                j = int(lo[x])
+                if j not in true and j not in wrong:  # the words themselves, once for each window of the test set
+                    if same(int(start[near[x]]), int(self.at[j]), self.window):
+                        true[j] = {self.ids[i] for i in np.unique(self.item[self.at[j : np.searchsorted(self.spans, self.spans[j], "right")]]).tolist()}
+                    else:
+                        wrong.add(j)
+                found[doc[x]].update(true.get(j, ()))
+            keep &= ~np.isin(lo, list(wrong))
+            flags |= cover(start[near[keep]], self.window, len(words))
         for n, (prints, items) in self.short.items():
             at, h = words.windows(n)
             lo = np.searchsorted(prints, h, "left")

@@ -238,6 +238,32 @@ def test_class_words_do_not_remove_the_main_text():
     assert text("<article>Story</article><div class='related'><article>Another story, which is not this</article></div>").split("\n")[0] == "Story"
 
 
+def test_style_tree_alone_on_many_hosts(spark):
+    """No article, no telling tags or names: only what repeats on a host says what is a menu."""
+    dice = random.Random(4)
+    text = lambda n: " ".join("".join(dice.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    rows, want = [], {}
+    for host in range(12):
+        menu, notice, foot = [text(2) for _ in range(4)], text(20), text(12)
+        for page in range(8):
+            body = [text(dice.randint(15, 40)) for _ in range(dice.randint(3, 9))]
+            source = f"<div class=k1>{''.join(f'<div><a href=/{k}>{m}</a></div>' for k, m in enumerate(menu))}</div><div class=k2><div>{notice}</div></div><div class=k3>{''.join(f'<div>{b}</div>' for b in body)}</div><div class=k4>{foot}</div>"
+            rows.append((host * 100 + page, f"http://h{host}.example/{page}", source))
+            want[host * 100 + page] = "\n".join(body)
+    assert {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == want
+
+
+def test_deep_markup_takes_linear_time():
+    import time
+
+    start = time.time()
+    for source in ("<div>" * 100_000 + "x", "<b>" * 100_000 + "x", "<p>" * 50_000, "<td><p><td>" + "<div>" * 50_000 + "x", "<a href=q>y" * 50_000):
+        page = Page(source)
+        page.keys(1)
+        page.text(lambda k: 1)
+    assert time.time() - start < 60
+
+
 def test_entities_like_the_library():
     for t in ("&amp;lt;", "&notit;", "&#0;", "&#x80;", "&copy2", "&unknown;"):
         assert Page(f"<article>{t}</article>").text(lambda k: 1) == " ".join(html.unescape(t).split())
@@ -400,6 +426,17 @@ def test_winnowing(spark, docs):
     assert all(r.block == "clash" and r.score == 0.5 for r in left.values())
 
 
+def test_winnowing_of_one_word_repeated(spark):
+    import time
+
+    rows = [(1, "na " * 100_000), (2, "na " * 12), (3, "x " + "na " * 20 + "y")]
+    items = spark.createDataFrame([(1, "na " * 50_000), (2, "x y"), (3, "na " * 13)], "item_id long, text string")
+    start = time.time()
+    got = by_id(decontaminate(frame(spark, rows, 1), items))
+    assert time.time() - start < 60
+    assert [(got[k].n_hit, got[k].n_items) for k in (1, 2, 3)] == [(100_000, 2), (0, 0), (20, 2)]
+
+
 # ------------------------------------------------------------------------ 8
 def test_rank_bpe(spark, docs):
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -420,6 +457,15 @@ def test_rank_bpe_random_strings():
     assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_many(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_rank_bpe_all_code_points():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib, own = Tokenizer.from_file(path), tokenizer(path)
+    points = [chr(k) for k in [*range(0x32000), *range(0xE0000, 0xE0200)] if not 0xD800 <= k < 0xE000]
+    texts = ["".join(f"~{c}a {c}'m1{c} " for c in points[k : k + 500]) for k in range(0, len(points), 500)]
+    for t, mine, theirs in zip(texts, own.encode_many(texts), lib.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(mine, "<u4").tolist() == theirs.ids, t[:40]
+
+
 # ------------------------------------------------------------------------ 9
 def brute_components(rows, percent=80):
     sets = {}
