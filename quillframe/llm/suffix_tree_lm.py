@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 from quillframe.llm.common import LOWER, U64, Words, mix, release
 from quillframe.llm.packed import Distinct, Texts, answer, ask, bits, cut, meet, pack, parse, partitions, unbits
 
-DEPTH, LEAST, DIVERGENCE, PRIOR, HOT = 2, 32, 0.02, 200.0, 4000
+DEPTH, LEAST, DIVERGENCE, PRIOR, HOT = 4, 32, 0.02, 200.0, 4000
 END = U64(0x5851F42D4C957F2D)
 SUMS = -7  # part of the rows that carry a partition's sums
 _STEPS, _DECADES = 65535, 12
