@@ -5,12 +5,16 @@ any passage of ``window`` words holds one whole.  They are indexed by hash, and
 rolling window of as many words of every document probes the index (both travel as the
 packed questions of ``packed``).  A probe that meets a block, where the words occur twice or
 more, is an anchor.  Anchors are extended to every ``window``-word passage that holds one;
-equal passages (96-bit hashes) meet again, the earliest keeps its words and all later ones
-lose theirs, so the removed runs are the maximal exact repeats.
+equal passages (96 bits of two hashes) meet again, the earliest keeps its words and all later ones
+lose theirs, and neighbouring passages run on, so the removed runs are the maximal exact repeats.
+No pair of occurrences is followed word by word: a block that a third of all documents share has
+too many of them.
 
 Order: smaller doc_id first (null before all), then smaller hash of the text; rows equal in
 both are one document given several times and are treated alike.  Null texts have no words.
-Texts under ``window`` words keep everything.
+Texts under ``window`` words keep everything.  An empty table gives no rows; a very long text is
+a block of its own, in the memory of one task; an id of -2^63 is taken for null.  ``without_repeats``
+keeps all columns, whatever their names; the digests ignore those but doc_id and text.
 """
 
 from __future__ import annotations

@@ -23,13 +23,37 @@ U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; only where that is unset (tests) a local one."""
+    """A fresh folder below ``spark.checkpoint.dir``.
+
+    Where that is unset, a local one if the master is local (tests); on a cluster an error, as
+    executors don't share their local folders.
+    """
     ship(spark)
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quillframe-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/quillframe-{name}-{uuid.uuid4().hex}"
+    made = f"{base.rstrip('/')}/quillframe-{name}-{uuid.uuid4().hex}"
+    _made.append(made)
+    return made
+
+
+_made: list[str] = []  # folders of this driver
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that the operators stored and didn't delete themselves.
+
+    Their results read it, so call this once those are written.
+    """
+    for t in spark.catalog.listTables():
+        if t.name.startswith("quillframe_"):
+            spark.sql(f"DROP TABLE IF EXISTS {t.name}")
+    for folder in _made:
+        delete(spark, folder)
+    _made.clear()
 
 
 def store(df: DataFrame, name: str, free: bool = True) -> DataFrame:
@@ -55,7 +79,11 @@ def delete(spark: SparkSession, folder: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that are no longer referenced."""
+    """Let Spark's cleaner drop the shuffle files of plans that are no longer referenced.
+
+    The cleaner learns of them from the collector of the driver's JVM alone, which may not run for
+    hours where the driver does little; a long job would then hold the shuffles of all its steps.
+    """
     gc.collect()
     spark._jvm.System.gc()
 

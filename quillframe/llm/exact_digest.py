@@ -7,7 +7,9 @@ second, third ... class of different bytes under one digest gets the suffix -1,
 The likeness of two exact fingerprints is 1 where the canonical bytes are equal, else 0.
 
 Null texts are empty.  Rows are in order of (doc_id, text), null ids first, and the row
-after the last is the first; repeated rows are rows of their own.
+after the last is the first; repeated rows are rows of their own.  An empty table gives no rows, one
+row is its own next; a very long text is a row of one task.  Columns other than doc_id and text
+are ignored.
 """
 
 from __future__ import annotations
@@ -84,7 +86,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     twice = known.groupBy("digest").count().where("count > 1").select("digest")
     # salted: a digest may belong to a third of all rows
     salted = twice.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    markers = known.withColumn("salt", F.pmod("doc_id", F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"]).select("doc_id", F.lit(True).alias("marker"), F.lit(None).cast("string").alias("text"))
+    markers = known.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"]).select("doc_id", F.lit(True).alias("marker"), F.lit(None).cast("string").alias("text"))
 
     def edit(batches):
         press = zstandard.ZstdCompressor()

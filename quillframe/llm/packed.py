@@ -8,7 +8,9 @@ a block and its answers together again.  As a block names each distinct hash onc
 cost of a hash that occurs in a third of all rows is one entry per block: no hot keys.
 
 Blocks are numbered by (partition, counter) of the task that packed them and stored in the
-shared folder as a table bucketed by that number.  Texts so move once, when packed; later
+shared folder as a table bucketed by that number (null and empty texts take no room, repeated rows
+lie each by itself, other columns are kept as they are, an empty table has no blocks, and a text
+longer than a block is one of its own).  Texts so move once, when packed; later
 only answers move, to the buckets of their blocks.  Whatever is lost later is read again
 with the same numbers.
 """

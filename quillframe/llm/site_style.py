@@ -22,6 +22,9 @@ The counts are packed questions (see ``packed``): one entry a block and key howe
 pages of the block share a host.  Null html is empty and gives '' ; null urls are one host.
 Broken markup is read as browsers would:
 paragraphs, list items, rows and cells end where the next begins, and all ends at the end.
+Reading takes time in proportion to the page, however deep it is nested.  Repeated rows get a row
+each, an empty table gives none, a very long page is a block of its own, and columns other than
+page_id, url and html are ignored.
 """
 
 from __future__ import annotations

@@ -13,7 +13,9 @@ they meet in the shard of that gram's hash:
 3. blocks get a bit for every window asked about and remove what repeated windows cover.
 
 All comparisons are judged on the input.  Texts are UTF-8; null is empty; matches never cross
-documents; repeated rows are documents of their own and so remove each other's bytes.  A
+documents; repeated rows are documents of their own and so remove each other's bytes.  An
+empty table gives no rows; a very long text is a block of its own, in the memory of one task; ids
+may be null or repeated, and columns other than doc_id and text are ignored.  A
 removal may cut a character in two: ``kept`` is bytes.
 """
 

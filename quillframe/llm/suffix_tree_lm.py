@@ -20,7 +20,9 @@ logarithms in steps of 12/65535 of a decade, or more if 1 / (N + L) is below 1e-
 seen after its context is less likely than that.  Of tokens never seen there only n + L
 travels, and the block puts it to its own L p(w), so there is no least probability.
 
-Null texts are empty: one end token.  Repeated rows count and are scored each.  Without
+Null texts are empty: one end token.  Repeated rows count and are scored each, whatever their ids.
+A very long text is a block of its own; an empty table gives no rows; columns other than doc_id and
+text are ignored.  Without
 training texts N and V are 0 and every token has the same base probability.
 """
 

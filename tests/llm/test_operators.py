@@ -556,6 +556,46 @@ def test_exact_digest(docs):
     compare(fingerprints(docs), want)
 
 
+def test_exact_digest_compares_bytes_under_one_digest(spark, monkeypatch):
+    monkeypatch.setattr("quillframe.llm.exact_digest.digest", lambda form: "d" * 32 if form[:1] in b"xyz" else form.hex())
+    got = {r.doc_id: r for r in fingerprints(frame(spark, [(1, "x one"), (2, "y two"), (3, "X  one"), (4, "z"), (5, "other"), (6, "Y two")])).collect()}
+    assert [got[k].fingerprint for k in (1, 2, 3, 4, 6)] == ["d" * 32, "d" * 32 + "-1", "d" * 32, "d" * 32 + "-2", "d" * 32 + "-1"]
+    assert got[5].fingerprint == b"other".hex() and got[1].near_next == 0
+
+
+def test_texts_longer_than_a_block(spark):
+    """A text of over 2 MB, with passages that a short one shares."""
+    dice = random.Random(12)
+    words = ["".join(dice.choice("abcdefgh") for _ in range(6)) for _ in range(60_000)]
+    long_ = " ".join(dice.choice(words) for _ in range(330_000))
+    shared = " ".join(long_.split()[200_000:200_060])
+    rows = [(1, long_), (2, f"start {shared} end"), (3, None)]
+    assert len(long_) > 2 << 20
+    assert {r.doc_id: r.n_removed for r in passage_digests(frame(spark, rows)).collect()} == {1: 0, 2: 60, 3: 0}
+    got = {r.doc_id: r for r in repeated_bytes(frame(spark, rows)).collect()}
+    assert got[2].n_removed == len(shared) + 2 and got[1].n_removed == len(shared) + 2 and got[3].n_bytes == 0
+    items = spark.createDataFrame([(7, shared)], "item_id long, text string")
+    assert {r.doc_id: r.n_hit for r in decontaminate(frame(spark, rows), items).collect()} == {1: 60, 2: 60, 3: 0}
+
+
+def test_stored_folders(spark):
+    from quillframe.llm import common
+
+    class Cluster:
+        master = "spark://x"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext, conf = Cluster(), {}
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(common, "ship", lambda _: None)
+        with pytest.raises(RuntimeError, match=r"spark\.checkpoint\.dir"):
+            common.shared_dir(Session(), "x")
+
+
 def test_exact_digest_edges(spark, monkeypatch):
     assert fingerprints(frame(spark, [])).count() == 0
     (r,) = fingerprints(frame(spark, [(3, "abcd")])).collect()
