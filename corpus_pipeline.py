@@ -11,7 +11,9 @@ the columns of documents, the last one token ids:
 5. encoding: ids of the byte-level BPE and digests of the round trip.
 
 Null texts are empty documents and stay unless a stage's own rule drops them; n_chars follows
-the text.  Columns beyond those of documents pass through.
+the text.  Columns beyond those of documents pass through, whatever their names.  Repeated rows are
+rows each until stage 2.  An empty table gives no rows at any stage; without labels nothing is
+dropped for quality, without a benchmark nothing for contamination.  A very long text is worked on whole, in one task.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillframe.llm import pairwise_quality
 from quillframe.llm.block_anchors import without_repeats
-from quillframe.llm.common import load, store
+from quillframe.llm.common import drop_stored, load, store
 from quillframe.llm.prefix_join import near_duplicates
 from quillframe.llm.rank_bpe import encode_decode
 from quillframe.llm.winnow import overlaps
@@ -65,7 +67,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
+    docs, before = load(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = store(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            drop_stored(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
