@@ -49,3 +49,11 @@ def test_stages(spark, tmp_path):
             assert set(kept[name]) == {i for i, w in want.items() if not w["contaminated"]}
     assert not {i for i in range(0, 200, 10)} & set(kept["quality"]) and len(kept["quality"]) >= 178
     assert {r.doc_id for r in corpus_pipeline.run(spark, d).collect()} == set(kept["encode"])
+
+
+def test_no_documents(spark, tmp_path):
+    d = str(tmp_path)
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, d).count() == 0
