@@ -7,11 +7,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillframe.errors import LimitError
+
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; where no folder is configured (tests), a local one is made and set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A fresh path in the shared folder; where none is configured, a local one is made and set if the master is local, else it is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise LimitError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quillframe-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/quillframe-{name}-{uuid.uuid4().hex}"
