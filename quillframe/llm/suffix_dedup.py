@@ -6,6 +6,9 @@ they meet in the shard of that gram's hash:
 
 1. blocks ask which of their grams the corpus has twice or more (8-byte hashes cut to 5,
    one an entry and block; see ``packed``); all other stretches are unique and stay home;
+   Of grams that more than ``hot`` blocks name, the same is asked of each window's hash, spread over
+   all partitions, and only runs of windows that may occur twice go on: text round a popular
+   passage, new each time, then makes no shard that grows with the corpus;
 2. the other stretches go, as bytes, to the shards of their grams, each distinct one once
    a block.  A shard takes each distinct stretch (by 128-bit digest) once, and whether it came twice, and sorts
    their suffixes by external induction (``induced_sort``); a window is repeated if a
@@ -29,11 +32,12 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 
-from quillframe.llm.common import BYTE_CODE, U64, cover, mix, prefix_sums, runs, sliding_min_at, window_hashes
+from quillframe.llm.common import BYTE_CODE, U64, cover, mix, prefix_sums, runs, sliding_min_at, span_hash, window_hashes
 from quillframe.llm.induced_sort import Sorter
 from quillframe.llm.packed import Distinct, Texts, answer, ask, bits, cut, meet, pack, parse, partitions, unbits
 
 LENGTH, GRAM = 200, 64
+HOT = 32  # blocks: the stretches of a gram that no more of them name are at most their texts
 _KEY = np.dtype([("low", "<u4"), ("high", "u1")])
 
 
@@ -42,13 +46,13 @@ class Stretches:
 
     def __init__(self, t: Texts, length: int, gram: int, parts: int):
         n = len(t.buf)
-        self.length, self.parts = length, parts
+        self.length, self.parts, self.sums = length, parts, np.zeros(1, U64)
         if n < length:
             self.start = self.end = np.zeros(0, np.int64)
             self.key = Distinct(np.zeros(0, U64))
         else:
-            sums = prefix_sums(t.buf, BYTE_CODE)
-            h = window_hashes(sums, gram)
+            self.sums = prefix_sums(t.buf, BYTE_CODE)
+            h = window_hashes(self.sums, gram)
             least = sliding_min_at(h, length - gram + 1)
             ok = np.zeros(n - length + 1, bool)
             for a, b in zip(t.offs[:-1].tolist(), t.offs[1:].tolist(), strict=True):
@@ -67,36 +71,87 @@ class Stretches:
             self.key = Distinct(mix(h[least[self.start]] + U64(1)))  # smallest hashes are small: mixed again, they spread
         self.ends = cut(self.key.values, parts)
 
-    def full(self) -> list[int]:
-        return np.flatnonzero(self.ends[1:] > self.ends[:-1]).tolist()
-
-    def shared(self, answers: dict[int, bytes]) -> np.ndarray:
-        """Of each stretch, whether its gram occurs twice or more."""
-        hot = np.zeros(len(self.key.values), bool)
-        for p in self.full():
+    def shared(self, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each stretch, whether its gram occurs twice or more, and whether it is hot."""
+        flags = np.zeros((2, len(self.key.values)), bool)
+        for p in _full(self.ends):
             a, b = self.ends[p], self.ends[p + 1]
-            hot[a:b] = unbits(answers[p], int(b - a))
-        return self.key.spread(hot)
+            flags[:, a:b] = unbits(answers[p], 2 * int(b - a)).reshape(2, -1)
+        return self.key.spread(flags[0]), self.key.spread(flags[1])
+
+    def windows(self, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, Distinct, np.ndarray]:
+        """The windows of hot stretches: starts, stretches, distinct hashes and where partitions of those begin."""
+        k = np.flatnonzero(hot)
+        size = self.end[k] - self.start[k] - self.length + 1
+        at = np.repeat(self.start[k] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        key = Distinct(span_hash(self.sums, at, at + self.length))
+        return at, np.repeat(k, size), key, cut(key.values, self.parts)
+
+    def pieces(self, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and the grams' numbers of what goes to shards: shared stretches, of hot ones the runs of windows that may occur twice."""
+        shared, hot = self.shared(answers)
+        of = np.empty(len(self.start), np.int64)
+        of[self.key.order] = np.repeat(np.arange(len(self.key.values)), self.key.size)
+        at, own, key, ends = self.windows(hot)
+        again = np.zeros(len(key.values), bool)
+        for p in _full(ends):
+            again[ends[p] : ends[p + 1]] = unbits(answers[self.parts + p], int(ends[p + 1] - ends[p]))
+        again = key.spread(again)
+        at, own = at[again], own[again]
+        new = np.ones(len(at), bool)
+        new[1:] = (at[1:] != at[:-1] + 1) | (own[1:] != own[:-1])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(at))[: len(first)] - 1
+        whole = np.flatnonzero(shared & ~hot)
+        return np.concatenate([self.start[whole], at[first]]), np.concatenate([self.end[whole], at[last] + self.length]), of[np.concatenate([whole, own[first]])]
 
     def to_shards(self, t: Texts, answers: dict[int, bytes]):
-        """(shard, its distinct stretches, their grams' hashes, which came twice in the block, the stretches' numbers by distinct one)."""
+        """(shard, its distinct stretches, their grams' hashes, which came twice in the block, the starts of each distinct one)."""
         raw = t.buf.tobytes()
-        mine = np.flatnonzero(self.shared(answers))
-        key = np.repeat(np.arange(len(self.key.values)), self.key.size)
-        of = np.empty(len(self.start), np.int64)
-        of[self.key.order] = key
-        part = np.searchsorted(self.ends, of[mine], "right") - 1
-        order = mine[np.argsort(part, kind="stable")]
-        part = np.sort(part)
+        start, end, gram = self.pieces(answers)
+        part = np.searchsorted(self.ends, gram, "right") - 1
+        order = np.argsort(part, kind="stable")
+        start, end, gram, part = (x[order] for x in (start, end, gram, part))
         for p in np.unique(part).tolist():
+            lo, hi = np.searchsorted(part, [p, p + 1]).tolist()
             seen: dict[bytes, list[int]] = {}
-            for k in order[np.searchsorted(part, p) : np.searchsorted(part, p, "right")].tolist():
-                seen.setdefault(raw[self.start[k] : self.end[k]], []).append(k)
-            grams = self.key.values[of[[v[0] for v in seen.values()]]]
-            yield p, list(seen), grams, np.array([len(v) > 1 for v in seen.values()], bool), list(seen.values())
-
-
-def repeats(docs: DataFrame, run, schema: str, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+            grams = []
+            for a, b, g in zip(start[lo:hi].tolist(), end[lo:hi].tolist(), gram[lo:hi].tolist(), strict=True):
+                places = seen.setdefault(raw[a:b], [])
+                if not places:
+                    grams.append(g)
+                places.append(a)
+            yield p, list(seen), self.key.values[grams], np.array([len(v) > 1 for v in seen.values()], bool), list(seen.values())
+
+
+def _full(ends: np.ndarray) -> list[int]:
+    """The partitions that have any."""
+    return np.flatnonzero(ends[1:] > ends[:-1]).tolist()
+
+
+def _named(key: Distinct, ends: np.ndarray):
+    """For each partition its distinct hashes, five bytes each, and whether the block has them more than once."""
+    low = np.empty(len(key.values), _KEY)
+    low["low"], low["high"] = key.values & U64(0xFFFFFFFF), (key.values >> U64(32)) & U64(0xFF)
+    for p in _full(ends):
+        a, b = ends[p], ends[p + 1]
+        yield p, np.array([b - a], "<u4").tobytes() + low[a:b].tobytes() + bits(key.size[a:b] > 1)
+
+
+def _twice(bodies: list[bytes], hot: int | None = None) -> list[bytes]:
+    """Of each hash whether it occurs twice or more and, if asked, whether more than ``hot`` blocks name it."""
+    sizes = [int(np.frombuffer(x, "<u4", 1)[0]) for x in bodies]
+    pairs = np.concatenate([np.frombuffer(x, _KEY, n, 4) for n, x in zip(sizes, bodies, strict=True)])
+    several = np.concatenate([unbits(x[4 + 5 * n :], n) for n, x in zip(sizes, bodies, strict=True)])
+    d = Distinct(pairs["low"].astype(U64) | (pairs["high"].astype(U64) << U64(32)))
+    flags = [d.spread((d.size > 1) | np.logical_or.reduceat(several[d.order], d.at))]
+    if hot is not None:
+        flags.append(d.spread(d.size > hot))
+    ends = np.cumsum([0, *sizes])
+    return [bits(np.concatenate([f[a:b] for f in flags])) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def repeats(docs: DataFrame, run, schema: str, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """run(Texts, flags of the bytes that repeated strings cover) yields a batch for each block."""
     gram = max(1, min(gram, length - 1))
     table = pack(docs, "suffix-docs")
@@ -104,22 +159,14 @@ def repeats(docs: DataFrame, run, schema: str, length: int = LENGTH, gram: int =
 
     def grams(t: Texts, _):
         s = Stretches(t, length, gram, parts)
-        low = np.empty(len(s.key.values), _KEY)
-        low["low"], low["high"] = s.key.values & U64(0xFFFFFFFF), (s.key.values >> U64(32)) & U64(0xFF)
-        for p in s.full():
-            a, b = s.ends[p], s.ends[p + 1]
-            yield p, np.array([b - a], "<u4").tobytes() + low[a:b].tobytes() + bits(s.key.size[a:b] > 1)
-
-    def twice(bodies):
-        sizes = [int(np.frombuffer(x, "<u4", 1)[0]) for x in bodies]
-        pairs = np.concatenate([np.frombuffer(x, _KEY, n, 4) for n, x in zip(sizes, bodies, strict=True)])
-        several = np.concatenate([unbits(x[4 + 5 * n :], n) for n, x in zip(sizes, bodies, strict=True)])
-        d = Distinct(pairs["low"].astype(U64) | (pairs["high"].astype(U64) << U64(32)))
-        flags = d.spread((d.size > 1) | np.logical_or.reduceat(several[d.order], d.at))
-        ends = np.cumsum([0, *sizes])
-        return [bits(flags[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-
-    known = answer(ask(table, grams, parts), twice, parts, "grams")
+        yield from _named(s.key, s.ends)
+
+    def windows(t: Texts, answers):
+        s = Stretches(t, length, gram, parts)
+        yield from _named(*s.windows(s.shared(answers)[1])[2:])
+
+    known = answer(ask(table, grams, parts), lambda bodies: _twice(bodies, hot), parts, "grams")
+    known = known.unionByName(answer(ask((table, known), windows, parts), _twice, parts, "windows", shift=parts))
 
     def stretches(t: Texts, answers):
         press = zstandard.ZstdCompressor(level=1)
@@ -184,27 +231,27 @@ def repeats(docs: DataFrame, run, schema: str, length: int = LENGTH, gram: int =
             out.append(bits(found))
         return out
 
-    answers = answer(ask((table, known), stretches, parts), shard, parts, "shards", shift=parts)
+    answers = answer(ask((table, known), stretches, parts), shard, parts, "shards", shift=2 * parts)
 
     def apply(groups):
         for _, body, got in groups:
             t = Texts(parse(body))
             s = Stretches(t, length, gram, parts)
             starts = np.zeros(len(t.buf), bool)
-            for p, strings, _, _, places in s.to_shards(t, {k: v for k, v in got.items() if k < parts}):
-                flags = unbits(got[parts + p], sum(len(x) - length + 1 for x in strings))
+            for p, strings, _, _, places in s.to_shards(t, got):
+                flags = unbits(got[2 * parts + p], sum(len(x) - length + 1 for x in strings))
                 at = 0
                 for x, ks in zip(strings, places, strict=True):
                     m = len(x) - length + 1
                     for k in ks:
-                        starts[s.start[k] : s.start[k] + m] = flags[at : at + m]
+                        starts[k : k + m] = flags[at : at + m]
                     at += m
             yield run(t, cover(np.flatnonzero(starts), length, len(t.buf)))
 
     return meet(table, known.unionByName(answers), apply, schema)
 
 
-def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeated_bytes(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the removed byte spans."""
 
     def run(t: Texts, flags: np.ndarray) -> pa.RecordBatch:
@@ -222,4 +269,4 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64()))]
         return pa.RecordBatch.from_arrays([t.batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    return repeats(docs.selectExpr("cast(doc_id as long) as doc_id", "text"), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>", length)
+    return repeats(docs.selectExpr("cast(doc_id as long) as doc_id", "text"), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>", length, hot=hot)

@@ -159,6 +159,18 @@ def test_suffix_dedup_short_length_repeated_rows_no_rows(spark):
     assert repeated_bytes(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("hot", [0, 1, 3])
+def test_suffix_dedup_hot_passages(spark, hot):
+    dice = random.Random(hot)
+    noise = lambda k: "".join(dice.choice("ab cdeé") for _ in range(k))
+    line, pair = noise(150), noise(90)
+    rows = [(i, (noise(90), pair)[i % 4 == 0] + line + noise(dice.choice([0, 7, 200])) + line * (i % 5 == 0)) for i in range(60)]
+    rows += [(100, None), (101, line), (102, line + line)]
+    compare(repeated_bytes(frame(spark, rows, 6), hot=hot), brute_bytes([(i, (t or "").encode()) for i, t in rows]))
+    short = [(i, noise(3) + "abcdefgh" + noise(3)) for i in range(40)]
+    compare(repeated_bytes(frame(spark, short, 6), 10, hot), brute_bytes([(i, t.encode()) for i, t in short], 10))
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_induced_sort(seed):
     dice = random.Random(seed)
