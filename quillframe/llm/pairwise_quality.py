@@ -9,8 +9,9 @@ share of bad ones among them (ranks are exact up to ``RANKS`` rows, beyond that
 
 Fitting the weights uses at most ``SAMPLE`` labelled documents (the smallest hashes of doc_id, so the
 same ones on any cluster) and ``PAIRS`` pairs; every document is scored, in one pass
-without a shuffle, and before that the training folds for the cut, whose ids and scores
-meet the labels.  Null texts are empty and scored like them.  Without labels of both
+without a shuffle, and before that the labelled ones for the cut: up to ``SENT`` labels are
+broadcast to the texts; of more, all texts of the training folds are scored and only ids and
+scores meet the labels.  Null texts are empty and scored like them.  Without labels of both
 kinds every score is 0.5.  Repeated rows are scored alike; repeated labels count again.
 """
 
@@ -26,6 +27,7 @@ from quillframe.llm.common import U64, WORD_BYTES, Words, byte_table, drop_store
 from quillframe.shipping import ship
 
 SAMPLE, PAIRS, THRESHOLD, RANKS = 6000, 200_000, 0.3, 100_000
+SENT = 1_000_000  # labels, of an id and a flag each
 LINE_BYTES = byte_table((0x0A, 0x0A))
 
 FEATURES = [
@@ -157,7 +159,7 @@ def fold(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranking:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sent: int = SENT) -> Ranking:
     """Fit on at most ``sample`` labelled rows of the training folds, cut by all of them."""
     labelled = labels.where("quality is not null and doc_id is not null").where(fold() != 0).select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") > 0).alias("good"))
     chosen = labelled.orderBy(F.xxhash64("doc_id"), "doc_id", "good").limit(sample)
@@ -172,19 +174,24 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranking:
     rows.sort(key=lambda r: (r.doc_id, r.good, r.x))
     model = Ranking(np.array([r.x for r in rows]).reshape(len(rows), len(FEATURES)), np.array([r.good for r in rows], bool))
     if model.fitted:
-        model.cut = _cut(docs, labelled, model)
+        model.cut = _cut(docs, labelled, model, sent)
     return model
 
 
-def _cut(docs: DataFrame, labelled: DataFrame, model: Ranking) -> float:
+def _cut(docs: DataFrame, labelled: DataFrame, model: Ranking, sent: int) -> float:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for rows, buf, offs in text_blocks(batches):
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(held.value.raw(features(buf, offs)))], names=["doc_id", "raw"])
 
-    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").where(fold() != 0).mapInArrow(run, "doc_id long, raw double")
-    scores = store(raw.join(labelled, "doc_id").select("raw", "good"), "quality-scores")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").where(fold() != 0)
+    ids = labelled.groupBy("doc_id").agg(F.count_if("good").alias("good"), F.count("*").alias("n"))
+    if few := labelled.count() <= sent:
+        texts = texts.join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi")
+    raw = texts.mapInArrow(run, "doc_id long, raw double")
+    rows = raw.join(F.broadcast(ids) if few else ids, "doc_id")
+    scores = store(rows.select("raw", F.explode(F.expr("transform(sequence(1, n), i -> i <= good)")).alias("good")), "quality-scores")
     n, bad = scores.agg(F.count("*"), F.count_if(~F.col("good"))).first()
     at = bad / n * (n - 1)
     ranks = [(math.floor(at) + 0.5) / n, (math.ceil(at) + 0.5) / n]

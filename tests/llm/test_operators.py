@@ -358,11 +358,12 @@ def test_pairwise_quality(spark):
     assert pairwise_quality.score(frame(spark, []), alone).count() == 0
 
 
-def test_pairwise_quality_cut_of_all_labels(spark):
+@pytest.mark.parametrize("sent", [1000, 10])
+def test_pairwise_quality_cut_of_all_labels(spark, sent):
     dice = random.Random(4)
     texts = [" ".join("".join(dice.choice("abcdefgh") for _ in range(dice.randint(2, 8))) for _ in range(dice.randint(20, 90))) + "!! | " * (dice.randint(0, 9) if i % 4 else dice.randint(5, 30)) for i in range(300)]
     labels = spark.createDataFrame([(i, i % 4) for i in range(300)], "doc_id long, quality int")
-    model = pairwise_quality.fit(frame(spark, list(enumerate(texts))), labels, sample=60)
+    model = pairwise_quality.fit(frame(spark, list(enumerate(texts))), labels, sample=60, sent=sent)
     train = [i for i in range(300) if zlib.crc32(str(i).encode()) % 5]
     raw = [x.encode() for x in texts]
     s = model.raw(pairwise_quality.features(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])))[train]
