@@ -183,14 +183,15 @@ def _cut(docs: DataFrame, labelled: DataFrame, model: Ranking, sent: int) -> flo
 
     def run(batches):
         for rows, buf, offs in text_blocks(batches):
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(held.value.raw(features(buf, offs)))], names=["doc_id", "raw"])
+            others = [c for c in rows.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*map(rows.column, others), pa.array(held.value.raw(features(buf, offs)))], names=[*others, "raw"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").where(fold() != 0)
     ids = labelled.groupBy("doc_id").agg(F.count_if("good").alias("good"), F.count("*").alias("n"))
-    if few := labelled.count() <= sent:
-        texts = texts.join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi")
-    raw = texts.mapInArrow(run, "doc_id long, raw double")
-    rows = raw.join(F.broadcast(ids) if few else ids, "doc_id")
+    if labelled.count() <= sent:
+        rows = texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "good", "n").mapInArrow(run, "doc_id long, good long, n long, raw double")
+    else:
+        rows = texts.mapInArrow(run, "doc_id long, raw double").join(ids, "doc_id")
     scores = store(rows.select("raw", F.explode(F.expr("transform(sequence(1, n), i -> i <= good)")).alias("good")), "quality-scores")
     n, bad = scores.agg(F.count("*"), F.count_if(~F.col("good"))).first()
     at = bad / n * (n - 1)
