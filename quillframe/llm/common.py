@@ -92,6 +92,22 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+TASK_BYTES = 128 << 20  # of what is stored, a task
+_UNKNOWN = 1 << 62
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of the files that df reads, by Catalyst's statistics (nothing runs); rows that lie in no file count as none."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    return sum(x for x in sizes if x < _UNKNOWN)
+
+
+def tasks_for(df: DataFrame) -> int:
+    """Partitions for all rows of df: as many as the session has for a shuffle, more where df reads more than they bear."""
+    return max(shuffle_parts(df.sparkSession), -(-stored_bytes(df) // TASK_BYTES))
+
+
 # ---------------------------------------------------------------- text blocks
 
 

@@ -23,7 +23,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from quillframe.llm.common import shuffle_parts, store
+from quillframe.llm.common import store, tasks_for
 
 NO_ID = -(1 << 63)
 SALTS = 16
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     those bring their canonical bytes to the comparison.
     """
     spark = docs.sparkSession
-    parts = shuffle_parts(spark)
+    parts = tasks_for(docs)
     keyed = _keyed(docs)
     shares = ", ".join(f"{k / parts:.9f}D" for k in range(parts))
     got = keyed.selectExpr(f"percentile_approx(doc_id, array({shares}), {max(10000, 20 * parts)}) as q", "min(doc_id) as low").first()

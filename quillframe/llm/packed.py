@@ -13,6 +13,11 @@ lie each by itself, other columns are kept as they are, an empty table has no bl
 longer than a block is one of its own).  Texts so move once, when packed; later
 only answers move, to the buckets of their blocks.  Whatever is lost later is read again
 with the same numbers.
+
+Blocks times partitions is the number of messages.  Both would grow with the corpus, so beyond ``UNIT`` stored
+bytes blocks grow with the square root of its size, and partitions, a few blocks' share each, with them:
+a message keeps its length, messages grow as the corpus does, and a task's memory as the root (100 TB: blocks
+of 114 MB).  Buckets follow the size of what is packed, up to the most that Spark allows.
 """
 
 from __future__ import annotations
@@ -26,9 +31,10 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from quillframe.llm.common import BLOCK, U64, delete, release, shared_dir, shuffle_parts, store, text_blocks
+from quillframe.llm.common import BLOCK, U64, delete, release, shared_dir, shuffle_parts, store, stored_bytes, tasks_for, text_blocks
 
 ROWS = "part int, block long, body binary"
+UNIT = 32 << 30
 _OPTIONS = pa.ipc.IpcWriteOptions(compression="zstd")
 
 
@@ -65,20 +71,40 @@ class Texts:
         return np.fromiter((xxhash.xxh64_intdigest(r) for r in self.raw), U64, len(self.raw))
 
 
+def block_size(stored: int) -> int:
+    """Bytes of text a block, of a corpus of that many stored bytes."""
+    return int(BLOCK * max(1.0, stored / UNIT) ** 0.5)
+
+
+def _filled(batches: Iterable[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they have limit bytes."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= limit:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 class Packed:
     """A stored table (block, body) of docs."""
 
-    def __init__(self, docs: DataFrame, name: str, limit: int = BLOCK):
+    def __init__(self, docs: DataFrame, name: str):
         self.spark = spark = docs.sparkSession
         release(spark)
         self.path = shared_dir(spark, name)
         self.name = "quillframe_" + self.path.rpartition("-")[2]
-        n = shuffle_parts(spark)
+        n = min(tasks_for(docs), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
+        limit = block_size(stored_bytes(docs))
 
         def run(batches):
             top = TaskContext.get().partitionId() << 32
             k = 0
-            for batch, _, _ in text_blocks(batches, limit=limit):
+            for batch, _, _ in text_blocks(_filled(batches, limit), limit=limit):
                 yield pa.RecordBatch.from_arrays([pa.array([top + k], pa.int64()), pa.array([dump(batch)], pa.binary())], names=["block", "body"])
                 k += 1
 

@@ -34,7 +34,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillframe.llm.common import shared_dir
+from quillframe.llm.common import shared_dir, shuffle_parts, tasks_for
 from quillframe.llm.rank_bpe import printable_bytes
 
 INDEX_MAGIC, TABLE_MAGIC, FOOT_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -216,7 +216,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, out: str, end_id: int = 1
             fs.move(f"{top}/.{name}.{task.taskAttemptId()}", f"{top}/{name}")
             yield pa.RecordBatch.from_pydict({"file": [name], "tokens": [total]})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, "file string, tokens long").collect()
+    n = tasks_for(docs)
+    # the text's beginning behind the id: rows that share an id, or have none, are not one task's
+    ranges = [*([n] if n > shuffle_parts(docs.sparkSession) else []), "doc_id", F.substring("text", 1, 64)]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(*ranges).sortWithinPartitions("doc_id", "text").mapInArrow(write, "file string, tokens long").collect()
     return sorted((r.file, r.tokens) for r in rows)
 
 

@@ -16,7 +16,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from quillframe.llm import induced_sort, pairwise_quality, prefix_join, suffix_tree_lm
+from quillframe.llm import common, induced_sort, packed, pairwise_quality, prefix_join, suffix_tree_lm
 from quillframe.llm.block_anchors import passage_digests, without_repeats
 from quillframe.llm.common import Words
 from quillframe.llm.exact_digest import canonical, digest, fingerprints
@@ -340,6 +340,38 @@ def test_suffix_tree_no_training_rows(spark):
     assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (True, 3, 0, 0) and r.base_score == pytest.approx(0) and r.score == pytest.approx(0)
 
 
+# ------------------------------------------------------------------------ blocks
+def test_sizes_follow_the_input(spark, docs, monkeypatch, tmp_path):
+    assert common.stored_bytes(docs) == 0 and common.tasks_for(docs) == 4  # rows of the driver lie in no file
+    assert packed.block_size(0) == packed.block_size(packed.UNIT) == common.BLOCK and packed.block_size(100 * packed.UNIT) == 10 * common.BLOCK
+    path = f"file://{tmp_path}/docs"
+    docs.write.parquet(path)
+    held = spark.read.parquet(path)
+    size = common.stored_bytes(held)
+    assert size > 1000
+    few = packed.pack(held, "few")
+    monkeypatch.setattr(common, "TASK_BYTES", size // 6)
+    monkeypatch.setattr(packed, "BLOCK", 1 << 10)
+    monkeypatch.setattr(packed, "UNIT", size // 400)
+    assert common.tasks_for(held) > 4 and 19 << 10 <= packed.block_size(size) <= 21 << 10
+    many = packed.pack(held, "many")
+    buckets = lambda t: int(by_name(spark.sql(f"DESCRIBE EXTENDED {t.name}"))["Num Buckets"])
+    by_name = lambda df: {r.col_name: r.data_type for r in df.collect()}
+    assert buckets(many) == common.tasks_for(held) > buckets(few) == 4
+    assert many.frame.count() > few.frame.count()
+    compare(passage_digests(held), brute_words(DOCS))
+
+
+def test_token_files_one_id_many_tasks(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [f"{k:03d} words" for k in range(400)]
+    got = token_files(spark, frame(spark, [(None, t) for t in texts]), path).collect()
+    assert [r.start for r in sorted(got, key=lambda r: r.start)] == np.cumsum([0, *[r.n_tokens for r in sorted(got, key=lambda r: r.start)]])[:-1].tolist()
+    lib = Tokenizer.from_file(path)
+    want = [binascii.crc32(np.array([*lib.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes()) for t in texts]
+    assert [r.ids_crc32 for r in sorted(got, key=lambda r: r.start)] == want
+
+
 # ------------------------------------------------------------------------ 5
 def test_pairwise_quality(spark):
     dice = random.Random(3)
