@@ -233,7 +233,7 @@ def apply_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reorder_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _baskets(spark, sf_dir)
-    s.run("REORDER baskets$items BY quantity DESC, partkey ASC WHERE _pid > 0")
+    s.run("REORDER ALL baskets$items BY quantity DESC, partkey ASC")
     return s.sql("SELECT _pid AS pid, _idx AS idx, partkey, quantity FROM baskets$items")
 
 

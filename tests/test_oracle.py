@@ -53,3 +53,16 @@ def test_all_of_lineitem(spark, name):
     larger = DATA.replace("sf0.001", "sf0.1")
     rows = spark.read.parquet(f"{larger}/lineitem.parquet").count()
     assert queries.queries()[name](spark, larger).count() == rows
+
+
+def test_reorder_of_every_parent(spark, tmp_path):
+    """Keys from zero down are parents like any other."""
+    spark.createDataFrame([(k, 7) for k in (-1, 0, 1)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = [(k, i, part, float(q)) for k in (-1, 0, 1) for i, part, q in ((1, 30, 5), (2, 20, 9), (3, 10, 5))]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = sorted(tuple(r) for r in queries.queries()["reorder_lines"](spark, str(tmp_path)).select("pid", "idx", "partkey", "quantity").collect())
+    con = duckdb.connect()
+    for t in ("orders", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = sorted(con.execute(queries.oracle_sql()["reorder_lines"]).fetchall())
+    assert got == want == [(k, *row) for k in (-1, 0, 1) for row in ((0, 20, 9.0), (1, 10, 5.0), (2, 30, 5.0))]
