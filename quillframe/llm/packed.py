@@ -91,9 +91,9 @@ def _filled(batches: Iterable[pa.RecordBatch], limit: int) -> Iterator[pa.Record
 
 
 class Packed:
-    """A stored table (block, body) of docs."""
+    """A stored table (block, body) of docs; form(batch, its texts' bytes, their offsets) makes a body that ``parse`` reads."""
 
-    def __init__(self, docs: DataFrame, name: str):
+    def __init__(self, docs: DataFrame, name: str, form: Callable[..., bytes] = lambda batch, *_: dump(batch)):
         self.spark = spark = docs.sparkSession
         release(spark)
         self.path = shared_dir(spark, name)
@@ -104,8 +104,8 @@ class Packed:
         def run(batches):
             top = TaskContext.get().partitionId() << 32
             k = 0
-            for batch, _, _ in text_blocks(_filled(batches, limit), limit=limit):
-                yield pa.RecordBatch.from_arrays([pa.array([top + k], pa.int64()), pa.array([dump(batch)], pa.binary())], names=["block", "body"])
+            for block in text_blocks(_filled(batches, limit), limit=limit):
+                yield pa.RecordBatch.from_arrays([pa.array([top + k], pa.int64()), pa.array([form(*block)], pa.binary())], names=["block", "body"])
                 k += 1
 
         blocks = docs.mapInArrow(run, "block long, body binary").repartition(n, "block")

@@ -340,6 +340,28 @@ def test_suffix_tree_no_training_rows(spark):
     assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (True, 3, 0, 0) and r.base_score == pytest.approx(0) and r.score == pytest.approx(0)
 
 
+def test_suffix_tree_memory(spark, monkeypatch):
+    """Bytes a token that a task gets and needs besides, where (word, next) pairs are summed up, and those of the words' counts."""
+    dice = random.Random(5)
+    rows = [(i, " ".join(f"w{dice.randrange(3000 if dice.random() < 0.9 else 1 << 40)}" for _ in range(400))) for i in range(1500)]
+    n_tokens = 401 * len(rows)
+    taken = {}
+
+    def answer(asked, reply, parts, name, **kw):
+        bodies = [bytes(r.body) for r in asked.where("part = 0").select("body").collect()]
+        tracemalloc.start()
+        replies, _ = reply(bodies)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        taken[name] = tuple(parts * x / n_tokens for x in (sum(map(len, bodies)), peak, sum(map(len, replies))))
+        return packed.answer(asked, reply, parts, name, **kw)
+
+    monkeypatch.setattr(suffix_tree_lm, "answer", answer)
+    suffix_tree_lm.score(frame(spark, rows), depth=1)
+    (_, _, counts), (asked, peak, _) = taken["tree-0"], taken["tree-1"]
+    assert asked < 16 and peak < 95 and counts < 0.3, taken
+
+
 # ------------------------------------------------------------------------ blocks
 def test_sizes_follow_the_input(spark, docs, monkeypatch, tmp_path):
     assert common.stored_bytes(docs) == 0 and common.tasks_for(docs) == 4  # rows of the driver lie in no file
